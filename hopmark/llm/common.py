@@ -34,6 +34,14 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def without_keys(df: DataFrame, key: F.Column, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is not in the one column of keys; df's own columns may have any names."""
+    name = "key"
+    while name in df.columns:
+        name += "_"
+    return df.join(keys.toDF(name).distinct(), key == F.col(name), "left_anti")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; where it is unset, one under the warehouse is set (tests)."""
     shared = spark.conf.get("spark.checkpoint.dir", None)

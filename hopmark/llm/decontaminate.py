@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import Words, bounded_batches, id_and_text, pieces
+from hopmark.llm.common import Words, bounded_batches, id_and_text, pieces, without_keys
 
 WINDOW = 13
 #: Bytes of item texts that are looked up at once; more items take more passes over the documents.
@@ -253,5 +253,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     a repeated or null id is no special case, and the rows of one text are spread by their ids."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     digest = contamination(overlaps(docs.select(key.alias("_key"), F.col(text_col).alias("_text")), items, "_key", "_text", window=window))
-    bad = digest.where("contaminated").select(F.col("doc_id").alias("_contaminated_key")).distinct()
-    return docs.join(bad, key == F.col("_contaminated_key"), "left_anti")
+    return without_keys(docs, key, digest.where("contaminated").select("doc_id"))

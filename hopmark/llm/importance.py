@@ -26,6 +26,10 @@ PRIOR = 20_000.0
 #: Log ratios are kept as whole multiples of 1 / UNIT, so their sums do not depend on an order.
 UNIT = 1 << 20
 SEED = 20240
+#: Log weights count so much against the noise: texts are drawn in proportion to this power of their weights.
+SHARPNESS = 32
+#: A good text lost counts as so many bad texts kept.
+GOOD_OVER_BAD = 4.0
 
 
 def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words]:
@@ -42,25 +46,27 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, Words]:
 
 
 class Model(NamedTuple):
-    """log(target / raw) of each bucket, in whole multiples of 1 / UNIT; and the labelled sample: ids and labels."""
+    """log(target / raw) of each bucket, in whole multiples of 1 / UNIT; and the labelled sample: ids, and for each 0 (bad),
+    1 (good) or 2 (good, and part of the target text, so of no use for the threshold)."""
 
     ratios: np.ndarray
     ids: np.ndarray
-    good: np.ndarray
+    label: np.ndarray
 
 
 def labelled_sample(labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality", most: int = LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """About `most` labelled ids, chosen by a hash, in ascending order, and whether they are good. Of several labels of one
-    id the lowest counts; null ids and labels do not."""
+    """About `most` labelled ids, chosen by a hash, in ascending order, and their labels as in Model; half of the good ones
+    are target text. Of several labels of one id the lowest counts; null ids and labels do not."""
     rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(quality_col).cast("long").alias("q")).where("id IS NOT NULL AND q IS NOT NULL")
     share = min(1_000_000, -(-most * 1_000_000 // max(1, rows.count())))
-    got = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).groupBy("id").agg(F.min("q").alias("q")).collect()
-    got = sorted((r["id"], r["q"] > 0) for r in got)
-    return np.array([i for i, _ in got], np.int64), np.array([g for _, g in got], bool)
+    label = F.when(F.min("q") <= 0, 0).otherwise(1 + F.pmod(F.shiftright(F.xxhash64("id"), 32), F.lit(2)))
+    got = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).groupBy("id").agg(label.alias("label")).collect()
+    got = sorted((r["id"], r["label"]) for r in got)
+    return np.array([i for i, _ in got], np.int64), np.array([x for _, x in got], np.int64)
 
 
 def lookup(ids: pa.Array, model_ids: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """1 or 0 for the ids in the sample, -1 for all others."""
+    """The labels of the ids in the sample, -1 for all others."""
     own = ids.fill_null(0).to_numpy(zero_copy_only=False)
     out = np.full(len(own), -1, np.int64)
     if len(model_ids):
@@ -74,14 +80,14 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Count the n-grams of all documents, and of the labelled good ones in the sample. A task sends a row for each bucket at
     most, and as many come to the driver. Without target texts all ratios are 0."""
     bounded_batches(docs.sparkSession)
-    ids, good = labelled_sample(labels)
+    ids, label = labelled_sample(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for own, texts in pieces(batch):
                 one, two, w = ngrams(texts)
-                wanted = (lookup(own, ids, good) == 1)[w.owners()]
+                wanted = (lookup(own, ids, label) == 2)[w.owners()]
                 for grams in (one, two):
                     ok = grams >= 0
                     raw += np.bincount(grams[ok], minlength=BUCKETS)
@@ -96,7 +102,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     q = (raw + 1.0) / (raw.sum() + BUCKETS)
     p = (target + prior * q) / (target.sum() + prior)
     ratios = np.log(p / q) if target.sum() else np.zeros(BUCKETS)
-    return Model(np.rint(ratios * UNIT).astype(np.int64), ids, good)
+    return Model(np.rint(ratios * UNIT).astype(np.int64), ids, label)
 
 
 def log_weights(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,14 +114,14 @@ def log_weights(model: Model, texts: list[bytes]) -> tuple[np.ndarray, np.ndarra
 
 
 def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, weight (in 1 / UNIT), n, good (1 or 0 in the labelled sample, else -1), tie (a hash of id and text)."""
+    """id, weight (in 1 / UNIT), n, good (the label in the sample, else -1), tie (a hash of id and text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for ids, texts in pieces(batch):
                 weight, n = log_weights(model, texts)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(weight), pa.array(n, pa.int64()), pa.array(lookup(ids, model.ids, model.good)), batch.column(2).slice(at, len(texts))], ["id", "weight", "n", "good", "tie"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(weight), pa.array(n, pa.int64()), pa.array(lookup(ids, model.ids, model.label)), batch.column(2).slice(at, len(texts))], ["id", "weight", "n", "good", "tie"])
                 at += len(texts)
 
     bounded_batches(docs.sparkSession)
@@ -125,8 +131,8 @@ def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def threshold(scored: DataFrame) -> float:
     """The ratio per n-gram that parts good from bad labelled texts best (of the sample; by the sum of the two shares
-    that are right; the lowest such). Without both kinds: the lowest ratio of the kind that there is, if good, else none."""
-    rows = scored.where("good >= 0 AND n > 0").select("weight", "n", "good").toPandas()
+    that are right, that of good ones taken GOOD_OVER_BAD times; the lowest such). Without both kinds: the lowest ratio of the kind that there is, if good, else none."""
+    rows = scored.where("good IN (0, 1) AND n > 0").select("weight", "n", "good").toPandas()
     r, y = (rows["weight"] / UNIT / rows["n"]).to_numpy(float), rows["good"].to_numpy() == 1
     if not y.any():
         return -np.inf
@@ -137,7 +143,7 @@ def threshold(scored: DataFrame) -> float:
     bad_below = np.concatenate([[0], np.cumsum(~y)]) / (~y).sum()
     good_above = 1 - np.concatenate([[0], np.cumsum(y)]) / y.sum()
     ok = np.concatenate([[True], r[1:] != r[:-1], [True]])
-    best = int(np.argmax(np.where(ok, bad_below + good_above, -1)))
+    best = int(np.argmax(np.where(ok, bad_below + GOOD_OVER_BAD * good_above, -1)))
     if best == 0:
         return -np.inf
     return float((r[best - 1] + r[best]) / 2) if best < len(r) else np.inf
@@ -169,7 +175,7 @@ class Choice(NamedTuple):
 def key_sql(cut: float, seed: int = SEED) -> str:
     """Log weight against that of a text at the threshold, plus Gumbel noise from a hash of id and text; in 1 / UNIT."""
     uniform = f"((pmod(xxhash64(tie, {seed}L), 4503599627370496L) + 0.5D) / 4503599627370496D)"
-    return f"cast(round((weight / {UNIT}D - ({cut!r}D) * n - ln(-ln({uniform}))) * {UNIT}D) as long)"
+    return f"cast(round(({SHARPNESS}D * (weight / {UNIT}D - ({cut!r}D) * n) - ln(-ln({uniform}))) * {UNIT}D) as long)"
 
 
 def choose(scored: DataFrame, k: int | None = None) -> tuple[DataFrame, Choice]:

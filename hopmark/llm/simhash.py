@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import bounded_batches, id_and_text, pieces, stored
+from hopmark.llm.common import bounded_batches, id_and_text, pieces, stored, without_keys
 from hopmark.llm.graph import connected_components
 
 BITS, SEED, DISTANCE = 64, 42, 2
@@ -112,5 +112,4 @@ def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of df whose id is the smallest of their component, with all their columns; rows with a null id stay. Rows that
     share an id stay or go together."""
     found = near_duplicates(df, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct()
-    return df.join(gone, df[id_col] == F.col("_copy_id"), "left_anti")
+    return without_keys(df, F.col(id_col).cast("long"), found.where("doc_id <> component_id").select("doc_id"))
