@@ -14,7 +14,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hopmark.llm.common import bounded_batches, id_and_text, pieces, stored, without_keys
@@ -57,36 +57,48 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def variants(fps: DataFrame) -> DataFrame:
-    """A row for each fingerprint and wildcard bit: p, and the rest of that bit's segment."""
+    """A row for each fingerprint and wildcard bit p: key is p and the rest of that bit's segment."""
     rows = fps.select("rep", "fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("p"))
-    return rows.selectExpr("rep", "fp", "p", "(CASE WHEN p < 32 THEN fp & 4294967295L ELSE fp & -4294967296L END) & ~shiftleft(1L, p) AS part")
+    segment = "(shiftrightunsigned(fp, p - p % 32) & 4294967295L)"
+    return rows.selectExpr("rep", "fp", f"shiftleft(cast(p as long), 32) | ({segment} & ~shiftleft(1L, p % 32)) AS key")
 
 
-def links(fps: DataFrame, pairwise: int = PAIRWISE) -> DataFrame:
+def hot_keys(fps: DataFrame, often: int = PAIRWISE) -> DataFrame:
+    """Variants that look crowded in a sample of one fingerprint in 64. They are only routed another way, so the sample
+    decides on the load of tasks, never on results."""
+    some = variants(fps.where(F.pmod(F.xxhash64("fp"), F.lit(64)) == 0))
+    return stored(some.groupBy("key").count().where(F.col("count") >= often).select("key"), "hot")
+
+
+def links(fps: DataFrame, pairwise: int = PAIRWISE, often: int = PAIRWISE) -> DataFrame:
     """Edges (a, b) that join the same fingerprints as all pairs (rep, fp) within two bits.
 
     A variant of up to `pairwise` fingerprints gives its verified pairs. The fingerprints of larger ones are entered
-    under all their variants with two wildcards, out of the bits in which such variants' members differ: those under one
-    such variant are all within two bits of each other, and each is joined to the smallest. That path makes no pairs and
+    under all their variants with two wildcards, out of the bits in which such fingerprints differ: those under one such
+    variant are all within two bits of each other, and each is joined to the smallest. That path makes no pairs and
     drops nothing. A pair of which one variant is small and another large is found by either way.
     """
-    groups = variants(fps).groupBy("p", "part").agg(F.count("*").alias("n"), F.expr("bit_or(fp) ^ bit_and(fp)").alias("differ"))
-    groups = stored(groups.where("n > 1"), "variants")
-    few = stored(variants(fps).join(groups.where(F.col("n") <= pairwise).select("p", "part"), ["p", "part"]), "members")
-    other = few.select("p", "part", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"))
+    hot = hot_keys(fps, often)
+    rows, crowded = variants(fps), None
+    if not hot.isEmpty():
+        crowded = rows.join(hot, "key").select("rep", "fp").distinct()
+        rows = rows.join(hot, "key", "left_anti")
+    live = rows.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    live = stored(live, "live")
+    few = live.where(F.col("n") <= pairwise)
+    other = few.select("key", F.col("rep").alias("rep2"), F.col("fp").alias("fp2"))
     near = (F.col("rep") < F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= DISTANCE)
-    pairs = few.join(other, ["p", "part"]).where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
-    large = groups.where(F.col("n") > pairwise)
-    if large.isEmpty():
+    pairs = few.join(other, "key").where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b"))
+    many = live.where(F.col("n") > pairwise).select("rep", "fp").distinct()
+    many = stored(many if crowded is None else many.union(crowded).distinct(), "crowded")
+    if many.isEmpty():
         return pairs
-    hot = variants(fps).join(large, ["p", "part"]).groupBy("rep", "fp").agg(F.expr("bit_or(differ)").alias("differ"))
-    hot = stored(hot, "hot")
-    bit = F.explode(F.sequence(F.lit(0), F.lit(BITS - 1)))
-    one = hot.select("rep", "fp", "differ", bit.alias("i")).where("(differ & shiftleft(1L, i)) <> 0")
-    two = one.select("*", F.explode(F.sequence(F.col("i"), F.lit(BITS - 1))).alias("j")).where("(differ & shiftleft(1L, j)) <> 0")
-    two = two.selectExpr("rep", "i", "j", "fp & ~shiftleft(1L, i) & ~shiftleft(1L, j) AS part")
-    least = two.groupBy("i", "j", "part").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = two.join(least, ["i", "j", "part"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
+    differ = many.agg(F.expr("bit_or(fp) ^ bit_and(fp)")).first()[0]
+    bits = [i for i in range(BITS) if differ >> i & 1]
+    masks = [m - 2**64 if m >= 2**63 else m for m in ((1 << i) | (1 << j) for n, i in enumerate(bits) for j in bits[n:])]
+    two = many.select("rep", "fp", F.explode(F.lit(masks)).alias("mask")).selectExpr("rep", "mask", "fp & ~mask AS part")
+    least = two.groupBy("mask", "part").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = two.join(least, ["mask", "part"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
     return pairs.union(stars)
 
 

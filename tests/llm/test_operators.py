@@ -371,9 +371,9 @@ def test_simhash_against_brute_force(spark, docs):
         assert (got[i]["fingerprint"], got[i]["component_id"]) == (f"{fps[i]:016x}", want[i])
 
 
-@pytest.mark.parametrize("pairwise", [1, 2, 256])
-def test_links_of_dense_fingerprints(spark, pairwise):
-    rng = np.random.default_rng(pairwise)
+@pytest.mark.parametrize(("pairwise", "often"), [(1, 256), (2, 2), (256, 1), (256, 256)])
+def test_links_of_dense_fingerprints(spark, pairwise, often):
+    rng = np.random.default_rng(pairwise + often)
     fps = {}
     for _ in range(6):
         centre = int(rng.integers(0, 2**63))
@@ -384,7 +384,7 @@ def test_links_of_dense_fingerprints(spark, pairwise):
     least = {}
     for i, f in signed.items():
         least[f] = min(i, least.get(f, i))
-    edges = simhash.links(spark.createDataFrame([(r, f) for f, r in least.items()], "rep long, fp long"), pairwise)
+    edges = simhash.links(spark.createDataFrame([(r, f) for f, r in least.items()], "rep long, fp long"), pairwise, often)
     found = {r["node"]: r["component"] for r in connected_components(edges).collect()}
     want = brute_components(fps)
     assert {i: found.get(least[signed[i]], least[signed[i]]) for i in fps} == want
