@@ -25,8 +25,10 @@ from hopmark.llm.common import bounded_batches, id_and_text, pieces
 PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Beyond these characters, tables of different Unicode versions may cut differently; the tokenizer's own then decides.
 _UNSURE = regex.compile("[^\x00-ԯ‐-‧‰-⁞€]")
-#: Pieces whose ids a worker keeps; and the bytes of texts that are merged in one go.
-CACHE, RUN = 400_000, 4 << 20
+#: Words whose ids a worker keeps; and the bytes of texts that are merged in one go.
+CACHE, RUN = 600_000, 4 << 20
+#: Words that are encoded in one go; many, as a run of the pair index costs as much for each rank as for its positions.
+WORDS = 1 << 17
 
 
 def byte_chars() -> dict[int, str]:
@@ -61,7 +63,101 @@ class Cutter:
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
-class PairIndexEncoder(Cutter):
+class Numbers(dict):
+    """Numbers of words, given out in the order in which they are met; `new` holds those that are not encoded yet, after
+    the first `known` numbers, and is shared by several such tables."""
+
+    known = 0
+
+    def __init__(self, new: list[tuple[str, str]], before: str):
+        self.new, self.before = new, before
+
+    def __missing__(self, word: str) -> int:
+        self[word] = i = self.known + len(self.new)
+        self.new.append((self.before, word))
+        return i
+
+
+class TextEncoder(Cutter):
+    """Encodes texts word by word, each distinct word once; ids are gathered by the words' numbers.
+
+    A piece never runs over a space, or a line end, between two characters that are not white space. So where no white
+    space stands beside a space or line end, the ids of a text are those of its words, each with the space or line end
+    before it. Other texts, and those with special tokens, are encoded whole.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        vocab = self.spec["model"]["vocab"]
+        chars = byte_chars()
+        self.opens = np.zeros(max([*vocab.values(), *self.special.values()]) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t[0] in (chars[32], chars[10])]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.new: list[tuple[str, str]] = []
+        self.after_space, self.after_line, self.first = (Numbers(self.new, x) for x in (" ", "\n", ""))
+        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encode_flat(self, text: str) -> np.ndarray:
+        """The ids of a whole text."""
+        raise NotImplementedError
+
+    def _learn(self) -> None:
+        """Ids of the words met since the last time; -1 of them for words with white space at an end."""
+        new = self.new
+        if not new:
+            return
+        sizes, starts, parts, at = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64), [], len(self.flat)
+        regular = [i for i, (_, w) in enumerate(new) if w and not w[0].isspace() and not w[-1].isspace()]
+        for s in range(0, len(regular), WORDS):
+            some = regular[s : s + WORDS]
+            ids = self.encode_flat("".join([(new[i][0] or "\n") + new[i][1] for i in some]))
+            begin = np.flatnonzero(self.opens[ids])
+            if len(begin) != len(some):
+                raise AssertionError("words and their ids do not agree")
+            skip = np.array([not new[i][0] for i in some], np.int64)  # the line end put before a text's first word
+            sizes[some], starts[some] = np.diff(np.append(begin, len(ids))) - skip, at + begin + skip
+            parts.append(ids)
+            at += len(ids)
+        self.flat = np.concatenate([self.flat, *parts])
+        self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, sizes])
+        new.clear()
+        for numbers in (self.after_space, self.after_line, self.first):
+            numbers.known = len(self.counts)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Per text, its ids as little-endian unsigned 32-bit integers."""
+        if len(self.counts) > CACHE:
+            self.forget()
+        after, numbers, ends = self.after_space.__getitem__, [], []
+        for text in texts:
+            if not any(s in text for s in self.special):
+                lines = text.split("\n")
+                words = lines[0].split(" ")
+                numbers.append(self.first[words[0]])
+                numbers.extend(map(after, words[1:]))
+                for line in lines[1:]:
+                    words = line.split(" ")
+                    numbers.append(self.after_line[words[0]])
+                    numbers.extend(map(after, words[1:]))
+            ends.append(len(numbers))
+        self._learn()
+        at = np.array(numbers, np.int64)
+        sizes = self.counts[at]
+        bad = np.concatenate([[0], np.cumsum(sizes < 0)])
+        sizes = np.maximum(sizes, 0)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(self.starts[at] - total[:-1], sizes) + np.arange(total[-1])]
+        out, begin = [], 0
+        for text, end in zip(texts, ends, strict=True):
+            whole = begin == end or bad[begin] != bad[end]
+            out.append((self.encode_flat(text) if whole and text else ids[total[begin] : total[end]] if not whole else ids[:0]).astype("<u4").tobytes())
+            begin = end
+        return out
+
+
+class PairIndexEncoder(TextEncoder):
     """Merges by rank over all pieces of a run at once."""
 
     def __init__(self, path: str):
@@ -75,7 +171,7 @@ class PairIndexEncoder(Cutter):
         self.codes, self.code_ranks = codes[order], order
         self.left, self.right, self.made = left, right, made
         self.token_bytes = {i: bytes(back[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.known: dict[str, bytes] = {}
+        del self.spec
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs (a, b); -1 where they do not merge."""
@@ -145,23 +241,12 @@ class PairIndexEncoder(Cutter):
         data, bounds = symbols[ids].astype("<u4").tobytes(), 4 * np.searchsorted(ids, np.concatenate([[0], ends]))
         return [data[x:y] for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def learn(self, new: list[str]) -> None:
-        """Ids of pieces not met before."""
-        self.known.update(zip(new, self.merge([w.encode() for w in new]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Per text, its ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE:
-            self.known = {}
-        for text, i in self.special.items():
-            self.known[text] = i.to_bytes(4, "little")
-        known, new, cuts = self.known, {}, []
-        for text in texts:
-            cuts.append(cut := self.cut(text))
-            new.update(dict.fromkeys({*cut}.difference(known)))
-        if new:
-            self.learn([*new])
-        return [b"".join(map(known.__getitem__, cut)) for cut in cuts]
+    def encode_flat(self, text: str) -> np.ndarray:
+        cut = self.cut(text)
+        pieces = [*dict.fromkeys(cut)]
+        ids = dict(zip(pieces, self.merge([w.encode() for w in pieces]), strict=True))
+        ids |= {text: i.to_bytes(4, "little") for text, i in self.special.items()}
+        return np.frombuffer(b"".join(map(ids.__getitem__, cut)), "<u4")
 
     def decode(self, ids: bytes) -> str:
         """The text of little-endian unsigned 32-bit ids; special tokens stay."""

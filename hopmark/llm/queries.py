@@ -25,7 +25,7 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store.digests(token_store.tokenize_to_files(read_table(spark, sf_dir, "documents"), TOKENIZER))
+    return token_store.tokenize_to_files(read_table(spark, sf_dir, "documents"), TOKENIZER, digest=True)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

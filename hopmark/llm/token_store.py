@@ -27,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hopmark.llm.bpe import CACHE, RUN, Cutter
+from hopmark.llm.bpe import RUN, TextEncoder
 from hopmark.llm.common import bounded_batches, id_and_text, work_dir
 
 MAGIC, BLOCK, NULL_ID = b"HMBITS01", 4096, -(2**63)
 #: Text bytes that aim for one shard.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
 
 
 def min_bits(vocabulary: int) -> int:
@@ -95,26 +95,16 @@ class Shard:
         return self.range(int(self.offsets[i]), int(self.offsets[i + 1]))
 
 
-class LibraryEncoder(Cutter):
-    """Ids by the tokenizers library; each distinct piece of a run is handed to it once."""
+class LibraryEncoder(TextEncoder):
+    """Ids by the tokenizers library; each distinct word of a text is handed to it once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__(path)
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE:
-            self.known = {}
-        known, new, cuts = self.known, {}, []
-        for text in texts:
-            cuts.append(cut := self.cut(text))
-            new.update(dict.fromkeys({*cut}.difference(known)))
-        if words := [*new]:
-            for word, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return [b"".join(map(known.__getitem__, cut)) for cut in cuts]
+        del self.spec
+
+    def encode_flat(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     @property
     def vocabulary(self) -> int:
@@ -192,11 +182,34 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
             yield flush()
 
     bounded_batches(df.sparkSession)
-    ordered = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
-    ordered = ordered.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
+    texts = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
+    ordered = by_ranges(texts).sortWithinPartitions("id", "tie", "text").select("id", "text")
     return ordered.mapInArrow(run, "shard string, documents long, tokens long")
 
 
+#: Partitions up to this number get their bounds from the ids alone.
+BOUNDS = 1024
+
+
+def by_ranges(texts: DataFrame) -> DataFrame:
+    """Rows (id, text, tie) in partitions of ascending ranges of (id, tie), nulls first, as many as shuffles have.
+
+    Quantiles of the ids are the bounds; an id that is several bounds at once is dealt to the partitions between them by
+    its ties. So only the ids are read for the bounds. With more than BOUNDS partitions, where comparing each row with
+    every bound would cost more, Spark's own range exchange takes over, which samples whole rows."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if n > BOUNDS:
+        return texts.repartitionByRange("id", "tie")
+    bounds = texts.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100_000)).first()[0] if n > 1 else []
+    if not bounds:
+        return texts.repartition(1)
+    held = F.array(*map(F.lit, bounds))
+    below, upto = F.size(F.filter(held, lambda b: b < F.col("id"))), F.size(F.filter(held, lambda b: b <= F.col("id")))
+    share = F.col("tie") / F.lit(2.0**64) + F.lit(0.5)
+    place = below + F.floor(share * (upto - below + 1)).cast("int")
+    return texts.repartitionById(n, F.coalesce(F.least(place, upto), F.lit(0)))
+
+
 def shard_starts(manifest: DataFrame) -> dict[str, int]:
     """The number of ids before each shard. The manifest has a short row for each file of many MB."""
     rows = sorted((r["shard"], r["tokens"]) for r in manifest.select("shard", "tokens").collect())
@@ -204,8 +217,9 @@ def shard_starts(manifest: DataFrame) -> dict[str, int]:
     return {name: int(starts[i]) for i, (name, _) in enumerate(rows)}
 
 
-def read_shards(spark: SparkSession, folder: str, starts: dict[str, int]) -> DataFrame:
-    """Every document of the shard files: doc_id, start (ids before it in all shards), ids (binary, unsigned 32-bit)."""
+def read_shards(spark: SparkSession, folder: str, starts: dict[str, int], digest: bool = False) -> DataFrame:
+    """Every document of the shard files: doc_id, start (ids before it in all shards), ids (binary, unsigned 32-bit); with
+    digest, n_tokens and ids_crc32 (unsigned, of these bytes) in the place of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,41 +228,28 @@ def read_shards(spark: SparkSession, folder: str, starts: dict[str, int]) -> Dat
                 if name not in starts:
                     continue  # left by an attempt that another replaced
                 shard = Shard(content.as_buffer())
-                step = max(1, shard.documents * (4 << 20) // max(1, 4 * shard.tokens))
+                step = max(1, shard.documents * (2 << 20) // max(1, 4 * shard.tokens))
                 for i in range(0, shard.documents, step):
                     j = min(i + step, shard.documents)
-                    ids = shard.range(int(shard.offsets[i]), int(shard.offsets[j]))
-                    at = shard.offsets[i : j + 1] - shard.offsets[i]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([None if d == NULL_ID else d for d in shard.doc_ids[i:j].tolist()], pa.int64()),
-                            pa.array(shard.offsets[i:j] + starts[name], pa.int64()),
-                            pa.array([ids[x:y].astype("<u4").tobytes() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
-                        ],
-                        ["doc_id", "start", "ids"],
-                    )
-
+                    ids = memoryview(shard.range(int(shard.offsets[i]), int(shard.offsets[j])).astype("<u4", copy=False)).cast("B")
+                    at = (4 * (shard.offsets[i : j + 1] - shard.offsets[i])).tolist()
+                    parts = [ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+                    rest = [pa.array([len(x) // 4 for x in parts], pa.int64()), pa.array(map(zlib.crc32, parts), pa.int64())] if digest else [pa.array(map(bytes, parts), pa.binary())]
+                    doc_ids = pa.array([None if d == NULL_ID else d for d in shard.doc_ids[i:j].tolist()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(shard.offsets[i:j] + starts[name], pa.int64()), *rest], names)
+
+    schema = "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary")
+    names = [c.split(" ")[0] for c in schema.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bits").load(folder)
-    return files.select("path", "content").mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.select("path", "content").mapInArrow(run, schema)
 
 
-def tokenize_to_files(df: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shard files of a table and read them back: doc_id, start, ids. Without a folder, they go to one in the
+def tokenize_to_files(df: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """Write the shard files of a table and read them back, as read_shards(). Without a folder, they go to one in the
     shared folder. Empty tables give no rows."""
     spark = df.sparkSession
     folder = folder or work_dir(spark, "token-ids")
     starts = shard_starts(write_shards(df, folder, tokenizer_path, id_col, text_col))
     if not starts:
-        return spark.createDataFrame([], "doc_id long, start long, ids binary")
-    return read_shards(spark, folder, starts)
-
-
-def digests(stored_ids: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (unsigned, of the ids as little-endian unsigned 32-bit integers)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return stored_ids.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return spark.createDataFrame([], "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary"))
+    return read_shards(spark, folder, starts, digest)
