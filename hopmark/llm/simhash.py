@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import bounded_batches, id_and_text, pieces, stored, without_keys
+from hopmark.llm.common import Words, bounded_batches, id_and_text, pieces, stored, without_keys
 from hopmark.llm.graph import connected_components
 
 BITS, SEED, DISTANCE = 64, 42, 2
@@ -120,8 +120,115 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Wide fingerprints, for texts that share most but not nearly all of their words: WORDS_WIDE words of 64 bits over pairs of
+#: neighbouring words. Texts of which 0.8 of all distinct five-word shingles are common differ in about a tenth of
+#: these bits, 31 of 320, with a deviation of 5.
+WORDS_WIDE, WIDE_DISTANCE = 5, 37
+#: Segments of so many bits, two of a word. With about a tenth of the bits differing, one of the ten differs in at most one bit in
+#: 97 cases of 100. A segment should have six bits more than the number of documents has, and more segments then.
+WIDTH = 24
+_LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+NOT_SPACE = np.ones(256, np.uint8)
+NOT_SPACE[[0x20, *range(9, 14)]] = 0
+
+
+def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
+    """WORDS_WIDE signed numbers of each text; a single word is a pair by itself, and no words give zeros."""
+    w = Words(texts, NOT_SPACE)
+    h = w.hashes(SEED)
+    last = np.zeros(len(h), bool)
+    last[w.first[1:][w.counts > 0] - 1] = True
+    with np.errstate(over="ignore"):
+        pair = h * np.uint64(0x94D049BB133111EB)
+        pair[:-1] ^= np.where(last[:-1], np.uint64(0), h[1:])
+        keep = ~last
+        keep[w.first[:-1][w.counts == 1]] = True
+        lanes = pair[keep][:, None] * _LANES
+        lanes ^= lanes >> np.uint64(31)
+        lanes *= np.uint64(0xBF58476D1CE4E5B9)
+        lanes ^= lanes >> np.uint64(29)
+    n = np.maximum(w.counts - 1, (w.counts > 0).astype(np.int64))
+    out = np.zeros((len(texts), 8 * WORDS_WIDE), np.uint8)
+    at = np.concatenate([[0], np.cumsum(n)])
+    raw = lanes.view(np.uint8)
+    for i in np.flatnonzero(n).tolist():
+        bits = np.zeros(64 * WORDS_WIDE, np.int64)
+        for s in range(int(at[i]), int(at[i + 1]), 1 << 14):
+            bits += np.unpackbits(raw[s : min(s + (1 << 14), at[i + 1])], axis=1).sum(axis=0, dtype=np.int32)
+        out[i] = np.packbits(2 * bits > n[i])
+    return out.view(np.int64)
+
+
+def all_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, fp, and the wide fingerprint as w0, w1, ..."""
+    names = ["id", "fp", *(f"w{i}" for i in range(WORDS_WIDE))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in pieces(batch, 1 << 20):
+                wide = wide_fingerprints(texts)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(t) for t in texts], pa.int64()), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WORDS_WIDE))], names)
+
+    bounded_batches(df.sparkSession)
+    return id_and_text(df, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+
+def wide_variants(nodes: DataFrame) -> DataFrame:
+    """rep, key: one-wildcard variants of the segments of wide fingerprints."""
+    words = F.array(*(f"w{i}" for i in range(WORDS_WIDE)))
+    rows = nodes.select("rep", words.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(2 * WORDS_WIDE * WIDTH - 1))).alias("i"))
+    word, shift = f"element_at(w, cast(i div {2 * WIDTH} as int) + 1)", f"cast(i div {WIDTH} % 2 * {WIDTH} as int)"
+    part = f"shiftrightunsigned({word}, {shift}) & {(1 << WIDTH) - 1}L & ~shiftleft(1L, i % {WIDTH})"
+    return rows.selectExpr("rep", f"shiftleft(cast(i as long), 32) | ({part}) AS key")
+
+
+def wide_links(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
+    """Edges (a, b) between wide fingerprints (rep, w0, w1, ...) that differ in at most WIDE_DISTANCE bits.
+
+    Under each variant every fingerprint is compared with the one before it in order of rep and with the first, so a variant
+    with n of them makes 2 n comparisons, not all pairs; near copies share dozens of variants with ever other
+    neighbours, which connects them. Variants that a sample shows to be crowded are cut into 64 salted parts, whose
+    first members are compared in the same way."""
+    rows = wide_variants(nodes).withColumn("salt", F.lit(0))
+    some = wide_variants(nodes.where(F.pmod(F.xxhash64("rep"), F.lit(64)) == 0))
+    hot = stored(some.groupBy("key").count().where(F.col("count") >= often).select("key"), "hot")
+    crowded = not hot.isEmpty()
+    if crowded:
+        rows = rows.join(hot.withColumn("hit", F.lit(1)), "key", "left").select("rep", "key", F.when(F.col("hit") == 1, F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int")).otherwise(0).alias("salt"))
+    parts = [_neighbours(rows)]
+    if crowded:
+        parts.append(_neighbours(rows.join(hot, "key", "left_semi").groupBy("key", "salt").agg(F.min("rep").alias("rep")).select("rep", "key", F.lit(0).alias("salt"))))
+    edges = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    edges = stored(edges.distinct(), "candidates")
+    words = [f"w{i}" for i in range(WORDS_WIDE)]
+    left, right = (nodes.select(F.col("rep").alias(n), *(F.col(w).alias(f"{n}_{w}") for w in words)) for n in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    return edges.join(left, "a").join(right, "b").where(differ <= WIDE_DISTANCE).select("a", "b")
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    w = Window.partitionBy("key", "salt").orderBy("rep")
+    near = rows.select("rep", F.lag("rep").over(w).alias("before"), F.first("rep").over(w).alias("first")).where("before IS NOT NULL")
+    return near.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("before", "first"))).alias("b")).where("a <> b")
+
+
+def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id by the links of near_duplicates() and by those of wide fingerprints: near copies with about 0.8
+    of all their five-word shingles in common or more. Null, repeated and empty rows as in near_duplicates()."""
+    names = ["fp", *(f"w{i}" for i in range(WORDS_WIDE))]
+    rows = stored(all_fingerprints(df, id_col, text_col), "fingerprints")
+    nodes = stored(rows.groupBy(*names).agg(F.min("id").alias("rep")), "nodes")
+    known = nodes.where("rep IS NOT NULL")
+    same = known.groupBy("fp").agg(F.min("rep").alias("first"))
+    edges = known.join(same, "fp").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
+    edges = edges.union(links(stored(same.withColumnRenamed("first", "rep").select("rep", "fp"), "narrow"))).union(wide_links(known))
+    found = connected_components(edges)
+    named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(stored(named, "components"), names, "left").select(F.col("id").alias("doc_id"), "component_id")
+
+
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of their component, with all their columns; rows with a null id stay. Rows that
-    share an id stay or go together."""
-    found = near_duplicates(df, id_col, text_col)
+    """The rows of df whose id is the smallest of their group (copy_groups), with all their columns; rows with a null id
+    stay. Rows that share an id stay or go together."""
+    found = copy_groups(df, id_col, text_col)
     return without_keys(df, F.col(id_col).cast("long"), found.where("doc_id <> component_id").select("doc_id"))

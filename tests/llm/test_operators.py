@@ -399,6 +399,29 @@ def test_simhash_odd_rows(odd, none):
     assert kept.columns == odd.columns and {1, 2}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+@pytest.mark.parametrize("often", [1, 256])
+def test_wide_links_find_near_copies(spark, often, monkeypatch):
+    monkeypatch.setattr(simhash, "wide_links", lambda nodes, f=simhash.wide_links: f(nodes, often))
+    rng = np.random.default_rng(often)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmno"), 5))
+    rows, group = [], {}
+    for g in range(12):
+        base = [word() for _ in range(250)]
+        for _ in range(int(rng.integers(1, 20))):
+            copy = base.copy()
+            for i in rng.choice(250, int(rng.integers(0, 4)), replace=False):
+                copy[i] = word()
+            group[len(rows)] = g
+            rows.append((len(rows), " ".join(copy)))
+    five = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    assert all(len(five(rows[a][1].split()) & five(rows[a + 1][1].split())) >= 0.75 * 246 for a in range(len(rows) - 1) if group[a] == group[a + 1])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for i, g in group.items():
+        first.setdefault(g, i)
+    assert got == {i: first[g] for i, g in group.items()}
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(300, 380)] + [(0, int(x)) for x in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(400, 500, (60, 2))] + [(5, 5), (None, 3)]
