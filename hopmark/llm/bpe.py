@@ -19,16 +19,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hopmark.llm.common import bounded_batches, id_and_text, pieces
+from hopmark.llm.common import bounded_batches, id_and_text, pieces, tidy
 
 #: The pattern that cuts texts into pieces before merging, of the byte-level vocabularies.
 PIECES = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Beyond these characters, tables of different Unicode versions may cut differently; the tokenizer's own then decides.
 _UNSURE = regex.compile("[^\x00-ԯ‐-‧‰-⁞€]")
 #: Words whose ids a worker keeps; and the bytes of texts that are merged in one go.
-CACHE, RUN = 600_000, 4 << 20
+CACHE, RUN = 300_000, 3 << 20
 #: Words that are encoded in one go; many, as a run of the pair index costs as much for each rank as for its positions.
-WORDS = 1 << 17
+WORDS = 1 << 16
 
 
 def byte_chars() -> dict[int, str]:
@@ -86,6 +86,8 @@ class TextEncoder(Cutter):
     before it. Other texts, and those with special tokens, are encoded whole.
     """
 
+    cache = CACHE
+
     def __init__(self, path: str):
         super().__init__(path)
         vocab = self.spec["model"]["vocab"]
@@ -128,7 +130,7 @@ class TextEncoder(Cutter):
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Per text, its ids as little-endian unsigned 32-bit integers."""
-        if len(self.counts) > CACHE:
+        if len(self.counts) > self.cache:
             self.forget()
         after, numbers, ends = self.after_space.__getitem__, [], []
         for text in texts:
@@ -287,4 +289,4 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                     yield pa.RecordBatch.from_arrays([ids, counts, pa.array(coded, pa.binary()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids", "decoded"])
 
     bounded_batches(df.sparkSession)
-    return id_and_text(df, id_col, text_col).mapInArrow(run, schema)
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), schema)

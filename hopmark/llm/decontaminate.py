@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import Words, bounded_batches, id_and_text, pieces, without_keys
+from hopmark.llm.common import Words, bounded_batches, id_and_text, pieces, tidy, without_keys
 
 WINDOW = 13
 #: Bytes of item texts that are looked up at once; more items take more passes over the documents.
@@ -180,7 +180,7 @@ def _scan(docs: DataFrame, items: Items) -> DataFrame:
             counts = Words(texts).counts
         return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), pa.array(longest)], ["id", "n_words", "spans", "items", "longest"])
 
-    return docs.mapInArrow(run, "id long, n_words long, spans array<long>, items array<string>, longest long")
+    return docs.mapInArrow(tidy(run), "id long, n_words long, spans array<long>, items array<string>, longest long")
 
 
 def merged(spans: list[int]) -> list[int]:
@@ -245,7 +245,7 @@ def contamination(found: DataFrame) -> DataFrame:
             bad = [h > 0 and 20 * h >= n for h, n in zip(hit, b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array(bad, pa.bool_()), b.column(4)], [f.split(" ")[0] for f in DIGEST.split(", ")])
 
-    return found.mapInArrow(run, DIGEST)
+    return found.mapInArrow(tidy(run), DIGEST)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import bounded_batches
+from hopmark.llm.common import bounded_batches, tidy
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -239,4 +239,4 @@ def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
     bounded_batches(df.sparkSession)
     pages = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return pages.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

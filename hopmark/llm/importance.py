@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import TOKEN_BYTES, Words, bounded_batches, pieces, stored
+from hopmark.llm.common import TOKEN_BYTES, Words, bounded_batches, pieces, stored, tidy
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -96,7 +96,7 @@ def fit_models(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = texts.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
+    counts = texts.mapInArrow(tidy(run), "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     q = (raw + 1.0) / (raw.sum() + BUCKETS)
@@ -126,7 +126,7 @@ def weights(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.select("id", "text", F.xxhash64("id", "text").alias("tie")).mapInArrow(run, "id long, weight long, n long, good long, tie long")
+    return texts.select("id", "text", F.xxhash64("id", "text").alias("tie")).mapInArrow(tidy(run), "id long, weight long, n long, good long, tie long")
 
 
 def threshold(scored: DataFrame) -> float:
@@ -229,7 +229,7 @@ def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     bounded_batches(docs.sparkSession)
     inner = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip([*inner, "weight", "n"], [*docs.schema.fields, *scored_fields()], strict=True))
-    again = docs.mapInArrow(run, schema).withColumn("tie", F.xxhash64(F.col(inner[names.index(id_col)]).cast("long"), F.col(inner[place]).cast("string")))
+    again = docs.mapInArrow(tidy(run), schema).withColumn("tie", F.xxhash64(F.col(inner[names.index(id_col)]).cast("long"), F.col(inner[place]).cast("string")))
     key = F.expr(key_sql(choice.cut))
     chosen = (F.col("n") > 0) & ((key > choice.key) | (key == choice.key) & (F.col("tie") >= choice.tie))
     return again.where(chosen).select(*(F.col(c).alias(n) for c, n in zip(inner, names, strict=True)))

@@ -16,13 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import Words, bounded_batches, hash_spans, pieces
+from hopmark.llm.common import Words, bounded_batches, hash_spans, pieces, tidy
 
 BUCKET_BITS, NGRAM = 16, 3
 #: The sample that the field is fitted on: about so many documents a language, and a run of so many words of each.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 200
 #: Training: words of a sequence, passes, sequences a step, learning rate, weight decay.
 LENGTH, PASSES, STEP, RATE, DECAY = 40, 4, 256, 0.3, 1e-5
+#: Bytes of texts that are labelled in one go.
+RUN = 2 << 20
 _LETTER = re.compile(r"[^\W\d_]")
 #: Affixes as (seed, length in bytes, from the end).
 AFFIXES = ((11, 1, False), (12, 2, False), (13, 3, False), (21, 2, True), (22, 3, True), (23, 4, True))
@@ -74,8 +76,9 @@ class Field(NamedTuple):
     transitions: np.ndarray
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Label probabilities of all words, and summed probabilities of all transitions; sequences are first[i] to first[i + 1].
+def marginals(emit: np.ndarray, first: np.ndarray, transitions: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Label probabilities of all words, and on request summed probabilities of all transitions; sequences are first[i] to
+    first[i + 1].
 
     All sequences advance together, the longest first, so each step is one product for those that are still running."""
     n, labels = emit.shape
@@ -103,6 +106,8 @@ def marginals(emit: np.ndarray, first: np.ndarray, transitions: np.ndarray) -> t
         back[at] = state = now
     both = ahead * back
     both /= both.sum(axis=1, keepdims=True)
+    if not moves:
+        return both, None
     inner = np.ones(n, bool)
     inner[first[1:][counts > 0] - 1] = False
     a = np.flatnonzero(inner)
@@ -167,7 +172,7 @@ def word_labels(field: Field, texts: list[bytes]) -> tuple[Words, np.ndarray]:
         return w, np.zeros((len(w.starts), len(field.labels)))
     _, distinct, number = np.unique(w.hashes(), return_index=True, return_inverse=True)
     scores = features(w, distinct).scores(field.weights)
-    return w, marginals(scores[number], w.first, field.transitions)[0]
+    return w, marginals(scores[number], w.first, field.transitions, False)[0]
 
 
 def classify(field: Field, texts: list[bytes]) -> tuple[list[str], list[float]]:
@@ -228,12 +233,12 @@ def language_id(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in pieces(batch):
+            for ids, texts in pieces(batch, RUN):
                 names, scores = classify(field, texts)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     bounded_batches(df.sparkSession)
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, field: Field, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -243,11 +248,11 @@ def keep_identified(df: DataFrame, field: Field, text_col: str = "text", least:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for _, texts in pieces(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(place)], ["id", "text"])):
+            for _, texts in pieces(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(place)], ["id", "text"]), RUN):
                 names, scores = classify(field, texts)
                 keep = [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
                 yield batch.slice(at, len(texts)).filter(pa.array(keep, pa.bool_()))
                 at += len(texts)
 
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import bounded_batches, id_and_text, pieces
+from hopmark.llm.common import bounded_batches, id_and_text, pieces, tidy
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -130,7 +130,7 @@ def document_frequency(texts: DataFrame, vocabulary: set[bytes]) -> tuple[dict[b
                     counts.update(vocabulary.intersection(_WORD.findall(t.lower())))
         yield pa.RecordBatch.from_pydict({"word": pa.array([*counts, None], pa.binary()), "n": pa.array([*counts.values(), n], pa.int64())})
 
-    rows = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = texts.mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     counts = {None if r["word"] is None else bytes(r["word"]): r["n"] for r in rows}
     return counts, counts.pop(None, 0)
 
@@ -169,4 +169,4 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [f.split(" ")[0] for f in SCHEMA.split(", ")],
                 )
 
-    return texts.mapInArrow(run, SCHEMA)
+    return texts.mapInArrow(tidy(run), SCHEMA)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import bounded_batches, id_and_text, pieces
+from hopmark.llm.common import bounded_batches, id_and_text, pieces, tidy
 
 #: Bytes of a sample, samples of a chunk, samples from one key sample to the next, samples a second.
 SAMPLE, CHUNK, KEY_EVERY, TIMESCALE = 192, 16, 8, 100
@@ -177,7 +177,7 @@ def to_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 yield pa.RecordBatch.from_arrays([ids, pa.array([len(t) for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     bounded_batches(df.sparkSession)
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 PROBED = "doc_id long, n_bytes long, codec string, timescale long, duration long, key_ranges array<struct<start:long,size:long>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -209,7 +209,7 @@ def probe(media: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), k) for c, k in zip(columns, kinds[2:], strict=True))], names)
 
     bounded_batches(media.sparkSession)
-    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(run, PROBED)
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(tidy(run), PROBED)
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import Words, bounded_batches, id_and_text, pieces, stored, without_keys
+from hopmark.llm.common import Words, bounded_batches, id_and_text, pieces, stored, tidy, without_keys
 from hopmark.llm.graph import connected_components
 
 BITS, SEED, DISTANCE = 64, 42, 2
@@ -53,7 +53,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(t, shingle) for t in texts], pa.int64())], ["id", "fp"])
 
     bounded_batches(df.sparkSession)
-    return id_and_text(df, id_col, text_col).mapInArrow(run, "id long, fp long")
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), "id long, fp long")
 
 
 def variants(fps: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def all_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(t) for t in texts], pa.int64()), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WORDS_WIDE))], names)
 
     bounded_batches(df.sparkSession)
-    return id_and_text(df, id_col, text_col).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
 
 
 def wide_variants(nodes: DataFrame) -> DataFrame:

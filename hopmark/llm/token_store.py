@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hopmark.llm.bpe import RUN, TextEncoder
-from hopmark.llm.common import bounded_batches, id_and_text, work_dir
+from hopmark.llm.common import bounded_batches, id_and_text, tidy, work_dir
 
 MAGIC, BLOCK, NULL_ID = b"HMBITS01", 4096, -(2**63)
 #: Text bytes that aim for one shard.
@@ -98,6 +98,8 @@ class Shard:
 class LibraryEncoder(TextEncoder):
     """Ids by the tokenizers library; each distinct word of a text is handed to it once."""
 
+    cache = 600_000
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         super().__init__(path)
@@ -184,7 +186,7 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
     bounded_batches(df.sparkSession)
     texts = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ordered = by_ranges(texts).sortWithinPartitions("id", "tie", "text").select("id", "text")
-    return ordered.mapInArrow(run, "shard string, documents long, tokens long")
+    return ordered.mapInArrow(tidy(run), "shard string, documents long, tokens long")
 
 
 #: Partitions up to this number get their bounds from the ids alone.
@@ -241,7 +243,7 @@ def read_shards(spark: SparkSession, folder: str, starts: dict[str, int], digest
     schema = "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary")
     names = [c.split(" ")[0] for c in schema.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bits").load(folder)
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(tidy(run), schema)
 
 
 def tokenize_to_files(df: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
