@@ -17,8 +17,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Large-star hangs the larger neighbours of each node on its smallest one, small-star the smaller ones; the rounds end
     when a round changes no edge, after a number of rounds that grows with the logarithm of the longest path. Minima
-    are aggregated before they are joined back, so a node with many neighbours is no group in one task, and each round's
-    edges are written to the shared folder, which cuts the lineage. Loops and repeated edges do no harm; nulls are
+    are aggregated before they are joined back, from a table of their own, so that the join can split a node with many
+    neighbours; each round's edges are written to the shared folder, which cuts the lineage. Loops and repeated edges do no harm; nulls are
     dropped; no edges give no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -30,10 +30,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = _minima(both).select("u", F.least("u", "m").alias("m"))
+        m = stored(_minima(both).select("u", F.least("u", "m").alias("m")), "minima")
         large = both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.where("u <> v").distinct(), "edges")
-        m = _minima(large)
+        m = stored(_minima(large), "minima")
         small = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(m.select("u", F.col("m").alias("v")))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         e = stored(small.where("u <> v").distinct(), "edges")
