@@ -8,7 +8,6 @@ window are not all words of the items cannot share a window, so it is left out o
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -143,7 +142,7 @@ def _longest(place: np.ndarray, query: np.ndarray, items: Items) -> np.ndarray:
     return out
 
 
-HITS = "id long, row long, n_words long, spans array<long>, items array<string>, longest long"
+HITS = "id long, n_words long, spans array<long>, items array<string>, longest long"
 
 
 def _scan(docs: DataFrame, items: Items) -> DataFrame:
@@ -180,7 +179,7 @@ def _scan(docs: DataFrame, items: Items) -> DataFrame:
             counts = Words(texts).counts
         return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string())), pa.array(longest)], ["id", "n_words", "spans", "items", "longest"])
 
-    return docs.mapInArrow(tidy(run), "id long, n_words long, spans array<long>, items array<string>, longest long")
+    return docs.mapInArrow(tidy(run), HITS)
 
 
 def merged(spans: list[int]) -> list[int]:
@@ -194,6 +193,12 @@ def merged(spans: list[int]) -> list[int]:
     return out
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        spans = pa.array([merged(x or []) for x in b.column(2).to_pylist()], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), spans, b.column(3), b.column(4)], [c.split(" ")[0] for c in HITS.split(", ")])
+
+
 def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Verbatim overlaps of documents with test items.
 
@@ -222,6 +227,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
         part = part.where(F.size("items") > 0) if b else part
         found = part if found is None else found.unionByName(part)
     whole = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+    whole = whole.mapInArrow(tidy(_merge_spans), HITS)
     own = texts.select(F.col("id").alias("own"), F.xxhash64("id", "text").alias("id"))
     return _named(own.join(whole, "id").drop("id").withColumnRenamed("own", "id"))
 
@@ -230,22 +236,12 @@ def _named(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "spans", "items", "longest")
 
 
-DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long"
-
-
 def contamination(found: DataFrame) -> DataFrame:
     """Digest of overlaps(): n_hit, n_items, items_sha256 (of the sorted item ids, comma-joined), contaminated (a hit, and
-    at least one word in 20 hit)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = [merged(s or []) for s in b.column(2).to_pylist()]
-            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            names = [sorted({*(x or [])}) for x in b.column(3).to_pylist()]
-            bad = [h > 0 and 20 * h >= n for h, n in zip(hit, b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hit, pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()), pa.array(bad, pa.bool_()), b.column(4)], [f.split(" ")[0] for f in DIGEST.split(", ")])
-
-    return found.mapInArrow(tidy(run), DIGEST)
+    at least one word in 20 hit), longest."""
+    rows = found.withColumn("n_hit", F.expr("aggregate(transform(spans, (v, i) -> IF(i % 2 = 1, v, -v)), 0L, (a, v) -> a + v)"))
+    names = F.array_sort(F.array_distinct("items"))
+    return rows.select("doc_id", "n_words", "n_hit", F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "longest")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
