@@ -144,9 +144,11 @@ _CTES = {
 
 
 def _with(sql: str) -> str:
-    """The SQL with the derived relations that it uses."""
+    """The SQL with the derived relations that it uses; SQL that has its own is left as it is."""
     import re
 
+    if sql.startswith("WITH "):
+        return sql
     need: list[str] = []
 
     def visit(text: str) -> None:
@@ -197,14 +199,6 @@ _SUMMARY = lambda t: f"SELECT {_N} AS n, min(v) AS lo, max(v) AS hi, avg(v) AS m
 _ROUND = lambda df, *cs: df.select(*(F.round(c, 6).alias(c) if c in cs else F.col(c) for c in df.columns))
 
 
-def _chi2(i: Inputs) -> DataFrame:
-    return classify.increment_uniformity(i.mass())
-
-
-def _scores(i: Inputs) -> DataFrame:
-    return classify.random_scores(i.mass())
-
-
 def _generated(i: Inputs) -> DataFrame:
     s = synthetic.generate(i.spark, validation.FIXED, 200, MASS, 42, 50)
     return reports.confusion(validation.detected(s, "IPID_SEQUENCE", False, MASS))
@@ -286,8 +280,6 @@ REGISTRY = {
     "CLS_09_base_labels": _query(lambda i: i.base_labels(), f"SELECT IP_ADDR, {LABEL} FROM blab"),
     "CLS_15_mass_labels": _query(lambda i: i.mass_labels(), f"SELECT IP_ADDR, {LABEL} FROM mlab"),
     "CLS_16_mass_statistics": _query(lambda i: i.statistics(), "SELECT * EXCLUDE (k, a) FROM mstat"),
-    "CLS_20_scores": _query(_scores),
-    "CLS_22_increment_uniformity": _query(_chi2),
     "CLS_24_strict_parser": _query(lambda i: classify.parsed_strictly(i.mass(), MASS).select("IP_ADDR", _JOINED("values").alias("ipids")), f"SELECT IP_ADDR, {_DJOIN('list_transform(a, lambda x: CASE WHEN x BETWEEN 0 AND 65535 THEN x ELSE -1 END)')} AS ipids FROM mp"),
     "INC_01_base_increments": _query(lambda i: increments.base_increments(i.base()).select("IP_ADDR", LABEL, _JOINED("INCREMENTS").alias("increments")), f"SELECT IP_ADDR, {LABEL}, {_DJOIN('INCREMENTS')} AS increments FROM binc"),
     "INC_02_mass_increments": _query(lambda i: increments.mass_increments(i.mass()).select("IP_ADDR", LABEL, _JOINED("INCREMENTS").alias("increments")), f"SELECT IP_ADDR, {LABEL}, {_DJOIN('INCREMENTS')} AS increments FROM minc"),
@@ -306,9 +298,15 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return REGISTRY["AGG_01_base_distribution"][0](spark, sf_dir)
 
 
+def _all_queries() -> dict:
+    from hopmark.plans.parts import PARTS
+
+    return REGISTRY | PARTS
+
+
 def queries() -> dict:
-    return {k: run for k, (run, _) in REGISTRY.items()}
+    return {k: run for k, (run, _) in _all_queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in REGISTRY.items() if sql}
+    return {k: sql for k, (_, sql) in _all_queries().items() if sql}

@@ -42,6 +42,19 @@ def scan_strategies(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("IPID_SELECTION_STRATEGY", F.col("IPID_SELECTION_STRATEGY").cast("string"))
 
 
+def listing(spark: SparkSession, pattern: str) -> list[str]:
+    """URIs that match a glob pattern in any store that Spark reads, in order; none if nothing does."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or [])
+
+
+def exists(spark: SparkSession, uri: str) -> bool:
+    """Whether exactly this URI is there; a prefix of other names does not count."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def publish(df: DataFrame, path: str, codec: str = "zstd") -> str:
     """Write beside the path and rename, so a reader sees the whole table or none; on failure nothing is left."""
     spark = df.sparkSession

@@ -365,11 +365,11 @@ def same(got, want):
         assert np.allclose(got[c], want[c], atol=1e-9) if got[c].dtype.kind == "f" else (got[c].astype(str) == want[c].astype(str)).all(), c
 
 
-@pytest.mark.parametrize("name", [*registry.REGISTRY])
+@pytest.mark.parametrize("name", [*registry.queries()])
 def test_registered_query(spark, name):
-    run, sql = registry.REGISTRY[name]
+    run, sql = registry.queries()[name], registry.oracle_sql().get(name)
     got = run(spark, "/root/testdata/sf0.001").toPandas()
-    assert len(got)
+    assert len(got) or name in ("DQ_03_unknown_labels",)
     if sql:
         con = duckdb.connect()
         con.execute("CREATE VIEW orders AS SELECT * FROM '/root/testdata/sf0.001/orders.parquet'")
