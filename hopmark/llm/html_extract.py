@@ -32,10 +32,14 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements, and words in class, id and role, that mark what surrounds an article.
 AROUND = frozenset("nav footer aside form header menu dialog".split())
 AROUND_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget alert adsbygoogle login tags toc".split()
 )
-#: Elements that hold an article.
+#: Elements, and whole class, id and role values, that hold an article.
 WITHIN = frozenset("article main".split())
+WITHIN_NAMES = frozenset("main articlebody article-body article-content post-body post-content entry-content story-body main-content".split())
+#: A class that begins so only says what an element has beside it.
+BESIDE = ("has-", "with-", "no-", "without-")
+_PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "around", "within")
 
@@ -107,10 +111,11 @@ def blocks(page: str) -> list[Block]:
         links = 0
         if name in VOID or name == "label":
             continue
-        words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[\s_-]+", (m[1] or m[2] or m[3] or "").lower())} if attributes else set()
+        names = [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split() if not x.lower().startswith(BESIDE)] if attributes else []
+        words = {w.lower() for x in names for w in (x, *_PARTS.split(x))}
         outer = stack[-1] if stack else ("", False, False)
         own = name in AROUND and not (name == "header" and outer[2]) or bool(words & AROUND_NAMES) and name not in ("html", "body", "article", "main")
-        stack.append((name, outer[1] or own, outer[2] or name in WITHIN))
+        stack.append((name, outer[1] or own, outer[2] or name in WITHIN or any(x.lower() in WITHIN_NAMES for x in names)))
         if name in ("p", "li") and len(stack) > 1 and stack[-2][0] == name:  # the end tag was left out
             del stack[-2]
     flush()
@@ -202,6 +207,11 @@ def training_table() -> tuple[np.ndarray, np.ndarray]:
         menu + f"<div><p>+{_PROSE * 2}</p><p>+{_PROSE}</p></div>" + bare + foot,
         nav + f"<article><h1>+A</h1>{whole_link}{long}{mid}{ad}{mid}</article>" + note + foot,
         bare + f"<div>{long}{linked}{mid}</div>" + side + bare + talk,
+        bare + f"<div><h1>+Boats</h1>{mid}{short}{mid}<h2>+More boats in the bay</h2>{long}<h2>+At night</h2>{short}{long}<ul><li>+bread</li><li>+rope</li><li>+oil</li><li>+a lamp</li></ul>{mid}</div>" + bare,
+        bare + f"<div><h1>+Rain again today over the bay</h1>{long}{short}{short}{short}{mid}<ol><li>+one lamp</li><li>+two lamps</li><li>+three lamps</li></ol>{short}</div>" + bare,
+        "<article><p>+cut off</p></article>",
+        f"<main>{short}{short}<p>{_LINK.format('+the bay')}</p><p>{_LINK.format('+the old wall')}</p></main>" + bare,
+        f"<article>{whole_link}{whole_link}</article>" + foot,
     ]
     x, y = [], []
     for page in rows:

@@ -162,6 +162,26 @@ def test_html_extraction():
     assert (tree.predict(x) == y).mean() > 0.97
 
 
+PROSE = "The tide came in before noon and the boats lay quiet along the wall while the crew ate bread. "
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<div class='menu'><a href=x>DROP</a></div><div class='post-content'><h1>KEEP</h1><p>{PROSE}</p><ul><li>KEEP one</li><li>KEEP</li></ul></div><div class=footer>DROP</div>",
+        f"<div class='page has-sidebar'><div id='right_sidebar'>DROP {PROSE}</div><div><h1>KEEP</h1><p>{PROSE}</p><p>KEEP short.</p></div></div>",
+        f"<article><h1>KEEP</h1><section id='comments'><p>DROP {PROSE}</p></section></article><div class='comment-list'><div>DROP {PROSE}</div></div>",
+        f"<div role='navigation'><a>DROP</a></div><div role='main'><h1>KEEP</h1><p>{PROSE}</p><p><a href=x>KEEP</a></p></div><div role=alert>DROP</div><div class=adBanner>DROP</div>",
+        f"<main><table><tr><td>KEEP</td></tr></table><pre>KEEP</pre></main><section class=related-posts><article><p>DROP {PROSE}</p></article></section>",
+        "<article><p>KEEP<p>KEEP<!-- DROP",
+        "<ul><li><a href=a>DROP</a></li></ul><p>KEEP</p><div class='tags'><a href=x>DROP</a></div>",
+    ],
+)
+def test_html_of_many_shapes(page):
+    got = html_extract.extract(page, html_extract.trained())
+    assert got.count("KEEP") == page.count("KEEP") and "DROP" not in got
+
+
 def test_html_on_whole_table(spark):
     got = {r["page_id"]: r for r in html_extract.main_text(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
     import html
