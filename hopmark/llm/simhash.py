@@ -121,21 +121,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 #: Wide fingerprints, for texts that share most but not nearly all of their words: WORDS_WIDE words of 64 bits over pairs of
-#: neighbouring words. Texts of which 0.8 of all distinct five-word shingles are common differ in about a tenth of
-#: these bits, 31 of 320, with a deviation of 5.
-WORDS_WIDE, WIDE_DISTANCE = 5, 37
+#: neighbouring words. They propose pairs: texts of which 0.8 of all distinct five-word shingles are common differ in about a
+#: tenth of these bits, 31 of 320, with a deviation of 5.
+WORDS_WIDE = 5
 #: Segments of so many bits, two of a word. With about a tenth of the bits differing, one of the ten differs in at most one bit in
 #: 97 cases of 100. A segment should have six bits more than the number of documents has, and more segments then.
 WIDTH = 24
+#: Sketches decide on proposed pairs: SKETCH words of 64 one-bit minima of hashed shingles of SHINGLE words. Bits differ with
+#: probability (1 - similarity) / 2, so the similarity read from 768 bits deviates by 0.022 at 0.8. It must be at least
+#: LEAST, two deviations below 0.8, so that few pairs of 0.8 are lost.
+SKETCH, SHINGLE, LEAST = 12, 5, 0.755
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**64, 64 * SKETCH, np.uint64) | np.uint64(1)
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 NOT_SPACE = np.ones(256, np.uint8)
 NOT_SPACE[[0x20, *range(9, 14)]] = 0
 
 
-def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
-    """WORDS_WIDE signed numbers of each text; a single word is a pair by itself, and no words give zeros."""
-    w = Words(texts, NOT_SPACE)
-    h = w.hashes(SEED)
+def wide_fingerprints(w: Words, h: np.ndarray) -> np.ndarray:
+    """WORDS_WIDE signed numbers of each text, of words and their hashes; a single word is a pair by itself, and no words
+    give zeros."""
     last = np.zeros(len(h), bool)
     last[w.first[1:][w.counts > 0] - 1] = True
     with np.errstate(over="ignore"):
@@ -148,7 +152,7 @@ def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
         lanes *= np.uint64(0xBF58476D1CE4E5B9)
         lanes ^= lanes >> np.uint64(29)
     n = np.maximum(w.counts - 1, (w.counts > 0).astype(np.int64))
-    out = np.zeros((len(texts), 8 * WORDS_WIDE), np.uint8)
+    out = np.zeros((len(n), 8 * WORDS_WIDE), np.uint8)
     at = np.concatenate([[0], np.cumsum(n)])
     raw = lanes.view(np.uint8)
     for i in np.flatnonzero(n).tolist():
@@ -159,15 +163,44 @@ def wide_fingerprints(texts: list[bytes]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(w: Words, h: np.ndarray) -> np.ndarray:
+    """SKETCH signed numbers of each text; fewer words than a shingle count as one, and no words give zeros."""
+    place, end = np.arange(len(h)), np.repeat(w.first[1:], w.counts)
+    joint = h.copy()
+    with np.errstate(over="ignore"):
+        for k in range(1, SHINGLE):
+            ok = np.flatnonzero(place + k < end)
+            mixed = joint[ok] * np.uint64(0x9FB21C651E98DF25) ^ h[ok + k]
+            joint[ok] = mixed ^ (mixed >> np.uint64(29))
+        n = np.maximum(w.counts - SHINGLE + 1, (w.counts > 0).astype(np.int64))
+        keep = end - place >= SHINGLE
+        keep[w.first[:-1][w.counts > 0]] = True
+        joint, some = joint[keep], np.flatnonzero(n)
+        first = (np.cumsum(n) - n)[some]
+        out = np.zeros((len(n), 64 * SKETCH), np.uint8)
+        if len(some):
+            for j, m in enumerate(_MULTIPLIERS):
+                least = np.minimum.reduceat(joint * m, first)
+                least ^= least >> np.uint64(31)
+                out[some, j] = (least * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)
+    return np.packbits(out, axis=1).view(np.int64)
+
+
+#: Columns that tell texts apart; equal texts agree in all.
+WIDE, SKETCHED = [f"w{i}" for i in range(WORDS_WIDE)], [f"s{i}" for i in range(SKETCH)]
+
+
 def all_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, and the wide fingerprint as w0, w1, ..."""
-    names = ["id", "fp", *(f"w{i}" for i in range(WORDS_WIDE))]
+    """id, fp, the wide fingerprint as w0, w1, ... and the sketch as s0, s1, ..."""
+    names = ["id", "fp", *WIDE, *SKETCHED]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in pieces(batch, 1 << 20):
-                wide = wide_fingerprints(texts)
-                yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(t) for t in texts], pa.int64()), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(WORDS_WIDE))], names)
+                w = Words(texts, NOT_SPACE)
+                h = w.hashes(SEED)
+                both = np.column_stack([wide_fingerprints(w, h), sketches(w, h)])
+                yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(t) for t in texts], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in both.T)], names)
 
     bounded_batches(df.sparkSession)
     return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
@@ -175,7 +208,7 @@ def all_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def wide_variants(nodes: DataFrame) -> DataFrame:
     """rep, key: one-wildcard variants of the segments of wide fingerprints."""
-    words = F.array(*(f"w{i}" for i in range(WORDS_WIDE)))
+    words = F.array(*WIDE)
     rows = nodes.select("rep", words.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(2 * WORDS_WIDE * WIDTH - 1))).alias("i"))
     word, shift = f"element_at(w, cast(i div {2 * WIDTH} as int) + 1)", f"cast(i div {WIDTH} % 2 * {WIDTH} as int)"
     part = f"shiftrightunsigned({word}, {shift}) & {(1 << WIDTH) - 1}L & ~shiftleft(1L, i % {WIDTH})"
@@ -183,7 +216,7 @@ def wide_variants(nodes: DataFrame) -> DataFrame:
 
 
 def wide_links(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
-    """Edges (a, b) between wide fingerprints (rep, w0, w1, ...) that differ in at most WIDE_DISTANCE bits.
+    """Edges (a, b) between nodes (rep, w0, ..., s0, ...) that share a variant and whose sketches show a similarity of LEAST.
 
     Under each variant every fingerprint is compared with the one before it in order of rep and with the first, so a variant
     with n of them makes 2 n comparisons, not all pairs; near copies share dozens of variants with ever other
@@ -200,10 +233,9 @@ def wide_links(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
         parts.append(_neighbours(rows.join(hot, "key", "left_semi").groupBy("key", "salt").agg(F.min("rep").alias("rep")).select("rep", "key", F.lit(0).alias("salt"))))
     edges = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
     edges = stored(edges.distinct(), "candidates")
-    words = [f"w{i}" for i in range(WORDS_WIDE)]
-    left, right = (nodes.select(F.col("rep").alias(n), *(F.col(w).alias(f"{n}_{w}") for w in words)) for n in ("a", "b"))
-    differ = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-    return edges.join(left, "a").join(right, "b").where(differ <= WIDE_DISTANCE).select("a", "b")
+    left, right = (nodes.select(F.col("rep").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in SKETCHED)) for n in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCHED), F.lit(0))
+    return edges.join(left, "a").join(right, "b").where(differ <= int(32 * SKETCH * (1 - LEAST))).select("a", "b")
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -213,9 +245,9 @@ def _neighbours(rows: DataFrame) -> DataFrame:
 
 
 def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id by the links of near_duplicates() and by those of wide fingerprints: near copies with about 0.8
-    of all their five-word shingles in common or more. Null, repeated and empty rows as in near_duplicates()."""
-    names = ["fp", *(f"w{i}" for i in range(WORDS_WIDE))]
+    """doc_id, component_id by the links of near_duplicates() and by those of wide_links(): near copies with about 0.8 of all
+    their five-word shingles in common or more. Null, repeated and empty rows as in near_duplicates()."""
+    names = ["fp", *WIDE, *SKETCHED]
     rows = stored(all_fingerprints(df, id_col, text_col), "fingerprints")
     nodes = stored(rows.groupBy(*names).agg(F.min("id").alias("rep")), "nodes")
     known = nodes.where("rep IS NOT NULL")

@@ -419,6 +419,23 @@ def test_simhash_odd_rows(odd, none):
     assert kept.columns == odd.columns and {1, 2}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_sketches_measure_similarity():
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(4000)]
+    one = list(rng.choice(words, 1500))
+    texts = [one, one[:1200] + list(rng.choice(words, 170)), one[:700], ["a", "b"], ["a", "b"], [], list(rng.choice(words, 1500))]
+    texts = [" ".join(t).encode() for t in texts]
+    w = simhash.Words(texts, simhash.NOT_SPACE)
+    got = np.unpackbits(simhash.sketches(w, w.hashes(simhash.SEED)).view(np.uint8), axis=1)
+    sets = [{*simhash.shingles(t, 5)} for t in texts]
+    for a, b in ((0, 1), (0, 2), (0, 6), (3, 4), (1, 2)):
+        truth = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        assert abs(1 - 2 * np.mean(got[a] != got[b]) - truth) < 0.12, (a, b)
+    assert (got[3] == got[4]).all() and not got[5].any()
+    none = simhash.Words([], simhash.NOT_SPACE)
+    assert simhash.sketches(none, none.hashes(simhash.SEED)).shape == (0, simhash.SKETCH)
+
+
 @pytest.mark.parametrize("often", [1, 256])
 def test_wide_links_find_near_copies(spark, often, monkeypatch):
     monkeypatch.setattr(simhash, "wide_links", lambda nodes, f=simhash.wide_links: f(nodes, often))
