@@ -117,12 +117,13 @@ def value_sql(div: str, pattern: str) -> str:
 ADDRESS = "concat('10.', cast((k {div} 65536) % 256 as {s}), '.', cast((k {div} 256) % 256 as {s}), '.', cast(k % 256 as {s}))"
 
 
-def from_keys(keys: DataFrame, config: Config, times: bool = False) -> DataFrame:
-    """Measurement-shaped rows from a long column k: k, IP_ADDR, IPID_SEQUENCE, on request SEND_TIMESTAMP_SEQUENCE."""
+def from_keys(keys: DataFrame, config: Config, times: bool = False, lossy: bool = True) -> DataFrame:
+    """Measurement-shaped rows from a long column k: k, IP_ADDR, IPID_SEQUENCE, on request SEND_TIMESTAMP_SEQUENCE; complete
+    if not lossy."""
     ids = "element_at(array(" + ", ".join(f"{x}L" for x in config.request_ip_ids) + f"), cast(i % {len(config.request_ip_ids)} as int) + 1)"
     value = value_sql("div", ids)
     places = f"sequence(0L, {config.length - 1}L)"
-    sequence = f"array_join(transform({places}, i -> CASE WHEN k % 97 = i THEN '-' ELSE cast({value} as string) END), ',')"
+    sequence = f"array_join(transform({places}, i -> CASE WHEN {'k % 97 = i' if lossy else 'false'} THEN '-' ELSE cast({value} as string) END), ',')"
     columns = ["k", ADDRESS.format(div="div", s="string") + " AS IP_ADDR", f"{sequence} AS IPID_SEQUENCE"]
     if times:
         columns.append(f"array_join(transform({places}, i -> CASE WHEN k % 89 = i THEN '-' ELSE cast(1000 * k + 20000 * i + (k * (i + 1)) % 977 as string) END), ',') AS SEND_TIMESTAMP_SEQUENCE")

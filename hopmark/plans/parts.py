@@ -251,7 +251,7 @@ PARTS = {
     "CLS_07_per_bucket": _rule(every(steps("a", 4), 1, 21845), r._all(_FOUR, 1, 21845)),
     "CLS_08_priority": _rule(f"coalesce({exact_rules('a', BASE)}, 'UNCLASSIFIED')", f"coalesce({r._exact(16)}, 'UNCLASSIFIED')"),
     "CLS_10_presence": _plain("SELECT IP_ADDR, n_present FROM {mstat}", mstat="statistics"),
-    "CLS_11_mass_exact": _query(lambda i: let(i.mass(), a=tokens("IPID_SEQUENCE")).where("forall(a, v -> v IS NOT NULL)").select("IP_ADDR", F.expr(exact_rules("a", MASS)).alias("rule")), f"SELECT IP_ADDR, {r._exact(100)} AS rule FROM mp WHERE len(list_filter(a, lambda x: x IS NULL)) = 0"),
+    "CLS_11_mass_exact": _query(lambda i: classify.classify_mass(i.whole()).where(F.col(LABEL).isin(*LABELS[:6])), f"SELECT IP_ADDR, {r._exact(100)} AS {LABEL} FROM wp WHERE {r._exact(100)} IS NOT NULL"),
     "CLS_12_constant_fallback": _plain("SELECT IP_ADDR FROM {mstat} WHERE n_present >= 1 AND n_distinct = 1", mstat="statistics"),
     "CLS_13_clusters": _plain("SELECT IP_ADDR, n_clusters FROM {mstat}", mstat="statistics"),
     "CLS_14_multi": _plain("SELECT IP_ADDR, n_clusters BETWEEN 2 AND 16 AND n_distinct > 1 AS holds FROM {mstat}", mstat="statistics"),

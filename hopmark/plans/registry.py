@@ -37,6 +37,10 @@ class Inputs:
     def mass(self, times: bool = False) -> DataFrame:
         return synthetic.from_keys(self.keys().where("k % 11 <> 0"), MASS, times)
 
+    def whole(self) -> DataFrame:
+        """Mass sequences without a loss."""
+        return synthetic.from_keys(self.keys().where("k % 11 <> 0"), MASS, lossy=False)
+
     def addresses(self, where: str = "true") -> DataFrame:
         return self.keys().where(where).select("k", F.expr(synthetic.ADDRESS.format(div="div", s="string")).alias("IP_ADDR"))
 
@@ -116,6 +120,8 @@ _SQUARES = lambda b: f"CAST(list_sum(list_transform(range({b}), lambda b: len(li
 _CTES = {
     "base": _raw(16, "true"),
     "mass": _raw(100, "k % 11 <> 0"),
+    "whole": _raw(100, "k % 11 <> 0").replace("k % 97 = i", "false"),
+    "wp": "SELECT IP_ADDR, list_transform(string_split(IPID_SEQUENCE, ','), lambda x: TRY_CAST(x AS BIGINT)) AS a FROM whole",
     "addr": f"SELECT k, {_ADDR} AS IP_ADDR FROM {_KEYS}",
     "bp": "SELECT k, IP_ADDR, list_transform(string_split(IPID_SEQUENCE, ','), lambda x: TRY_CAST(x AS INTEGER)) AS a FROM base",
     "blab": f"SELECT IP_ADDR, CASE WHEN len(list_filter(a, lambda x: x IS NOT NULL)) < 16 THEN 'UNCLASSIFIED' ELSE coalesce({_exact(16)}, 'UNCLASSIFIED') END AS {LABEL} FROM bp",
