@@ -120,51 +120,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints, for texts that share most but not nearly all of their words: WORDS_WIDE words of 64 bits over pairs of
-#: neighbouring words. They propose pairs: texts of which 0.8 of all distinct five-word shingles are common differ in about a
-#: tenth of these bits, 31 of 320, with a deviation of 5.
-WORDS_WIDE = 5
-#: Segments of so many bits, two of a word. With about a tenth of the bits differing, one of the ten differs in at most one bit in
-#: 97 cases of 100. A segment should have six bits more than the number of documents has, and more segments then.
-WIDTH = 24
 #: Sketches decide on proposed pairs: SKETCH words of 64 one-bit minima of hashed shingles of SHINGLE words. Bits differ with
 #: probability (1 - similarity) / 2, so the similarity read from 768 bits deviates by 0.022 at 0.8. It must be at least
 #: LEAST, two deviations below 0.8, so that few pairs of 0.8 are lost.
 SKETCH, SHINGLE, LEAST = 12, 5, 0.755
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**64, 64 * SKETCH, np.uint64) | np.uint64(1)
-_LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 NOT_SPACE = np.ones(256, np.uint8)
 NOT_SPACE[[0x20, *range(9, 14)]] = 0
+#: Shared shingles propose pairs. Of two sets with 3/4 of their union in common, each has a shared one among its first quarter in any
+#: common order. Those that a sample of one document in HEAVY_SAMPLE shows HEAVY_LEAST times (the HEAVY most frequent ones) come
+#: last in that order, which shortens the lists of documents and changes no pair of 3/4 or more.
+HEAVY_SAMPLE, HEAVY_LEAST, HEAVY = 16, 4, 100_000
+#: Lists of up to so many documents are compared pair by pair at once; larger ones after cheaper links have been made. Their blocks.
+LIST, BLOCKS = 32, 16
 
 
-def wide_fingerprints(w: Words, h: np.ndarray) -> np.ndarray:
-    """WORDS_WIDE signed numbers of each text, of words and their hashes; a single word is a pair by itself, and no words
-    give zeros."""
-    last = np.zeros(len(h), bool)
-    last[w.first[1:][w.counts > 0] - 1] = True
-    with np.errstate(over="ignore"):
-        pair = h * np.uint64(0x94D049BB133111EB)
-        pair[:-1] ^= np.where(last[:-1], np.uint64(0), h[1:])
-        keep = ~last
-        keep[w.first[:-1][w.counts == 1]] = True
-        lanes = pair[keep][:, None] * _LANES
-        lanes ^= lanes >> np.uint64(31)
-        lanes *= np.uint64(0xBF58476D1CE4E5B9)
-        lanes ^= lanes >> np.uint64(29)
-    n = np.maximum(w.counts - 1, (w.counts > 0).astype(np.int64))
-    out = np.zeros((len(n), 8 * WORDS_WIDE), np.uint8)
-    at = np.concatenate([[0], np.cumsum(n)])
-    raw = lanes.view(np.uint8)
-    for i in np.flatnonzero(n).tolist():
-        bits = np.zeros(64 * WORDS_WIDE, np.int64)
-        for s in range(int(at[i]), int(at[i + 1]), 1 << 14):
-            bits += np.unpackbits(raw[s : min(s + (1 << 14), at[i + 1])], axis=1).sum(axis=0, dtype=np.int32)
-        out[i] = np.packbits(2 * bits > n[i])
-    return out.view(np.int64)
-
-
-def sketches(w: Words, h: np.ndarray) -> np.ndarray:
-    """SKETCH signed numbers of each text; fewer words than a shingle count as one, and no words give zeros."""
+def shingle_hashes(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, repeats included, of words and their hashes, and the number of each text's; fewer
+    words than a shingle count as one."""
     place, end = np.arange(len(h)), np.repeat(w.first[1:], w.counts)
     joint = h.copy()
     with np.errstate(over="ignore"):
@@ -172,13 +145,20 @@ def sketches(w: Words, h: np.ndarray) -> np.ndarray:
             ok = np.flatnonzero(place + k < end)
             mixed = joint[ok] * np.uint64(0x9FB21C651E98DF25) ^ h[ok + k]
             joint[ok] = mixed ^ (mixed >> np.uint64(29))
-        n = np.maximum(w.counts - SHINGLE + 1, (w.counts > 0).astype(np.int64))
-        keep = end - place >= SHINGLE
-        keep[w.first[:-1][w.counts > 0]] = True
-        joint, some = joint[keep], np.flatnonzero(n)
-        first = (np.cumsum(n) - n)[some]
-        out = np.zeros((len(n), 64 * SKETCH), np.uint8)
-        if len(some):
+    n = np.maximum(w.counts - SHINGLE + 1, (w.counts > 0).astype(np.int64))
+    keep = end - place >= SHINGLE
+    keep[w.first[:-1][w.counts > 0]] = True
+    return joint[keep], n
+
+
+def sketches(w: Words, h: np.ndarray) -> np.ndarray:
+    """SKETCH signed numbers of each text; no words give zeros."""
+    joint, n = shingle_hashes(w, h)
+    some = np.flatnonzero(n)
+    first = (np.cumsum(n) - n)[some]
+    out = np.zeros((len(n), 64 * SKETCH), np.uint8)
+    if len(some):
+        with np.errstate(over="ignore"):
             for j, m in enumerate(_MULTIPLIERS):
                 least = np.minimum.reduceat(joint * m, first)
                 least ^= least >> np.uint64(31)
@@ -186,56 +166,105 @@ def sketches(w: Words, h: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.int64)
 
 
-#: Columns that tell texts apart; equal texts agree in all.
-WIDE, SKETCHED = [f"w{i}" for i in range(WORDS_WIDE)], [f"s{i}" for i in range(SKETCH)]
+def prefixes(joint: np.ndarray, n: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each text's distinct shingles, the first quarter and one more in the common order (heavy ones last, by rank; then by
+    hash), and a digest of the whole set."""
+    late = np.zeros(len(joint), np.int64)
+    if len(heavy) and len(joint):
+        at = np.minimum(np.searchsorted(heavy, joint), len(heavy) - 1)
+        late = np.where(heavy[at] == joint, rank[at] + 1, 0)
+    out, digests = [], np.zeros(len(n), np.uint64)
+    ends = np.cumsum(n)
+    with np.errstate(over="ignore"):
+        for i, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
+            u, where = np.unique(joint[a:b], return_index=True)
+            digests[i] = ((u ^ (u >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).sum()
+            size = len(u) - (3 * len(u) + 3) // 4 + 1 if len(u) else 0
+            out.append(u[np.argsort(late[a + where], kind="stable")[:size]].view(np.int64))
+    return out, digests.view(np.int64)
+
+
+#: Columns that tell texts apart; texts of one set of shingles agree in all but the first.
+SKETCHED = [f"s{i}" for i in range(SKETCH)]
+NAMES = ["fp", "whole", *SKETCHED]
+
+
+def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, of the most frequent shingles of a sample of (id, text), and their ranks from rare to frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, part in pieces(batch, 1 << 20):
+                w = Words(part, NOT_SPACE)
+                h, n = np.unique(shingle_hashes(w, w.hashes(SEED))[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(HEAVY_SAMPLE)) == 0)
+    counts = some.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_LEAST)
+    rows = counts.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
+    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.arange(len(h))[::-1][order]
 
 
 def all_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, the wide fingerprint as w0, w1, ... and the sketch as s0, s1, ..."""
-    names = ["id", "fp", *WIDE, *SKETCHED]
+    """id, fp, a digest of the set of shingles, the sketch as s0, s1, ... and the first shingles of the set."""
+    bounded_batches(df.sparkSession)
+    texts = id_and_text(df, id_col, text_col)
+    heavy, rank = heavy_shingles(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, texts in pieces(batch, 1 << 20):
-                w = Words(texts, NOT_SPACE)
+            for ids, part in pieces(batch, 1 << 20):
+                w = Words(part, NOT_SPACE)
                 h = w.hashes(SEED)
-                both = np.column_stack([wide_fingerprints(w, h), sketches(w, h)])
-                yield pa.RecordBatch.from_arrays([ids, pa.array([fingerprint(t) for t in texts], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in both.T)], names)
+                first, whole = prefixes(*shingle_hashes(w, h), heavy, rank)
+                at = np.concatenate([[0], np.cumsum([len(x) for x in first])])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
+                fps = pa.array([fingerprint(t) for t in part], pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, fps, pa.array(whole), *(pa.array(np.ascontiguousarray(c)) for c in sketches(w, h).T), lists], ["id", *NAMES, "prefix"])
 
-    bounded_batches(df.sparkSession)
-    return id_and_text(df, id_col, text_col).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in names))
+    return texts.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in ["id", *NAMES]) + ", prefix array<long>")
 
 
-def wide_variants(nodes: DataFrame) -> DataFrame:
-    """rep, key: one-wildcard variants of the segments of wide fingerprints."""
-    words = F.array(*WIDE)
-    rows = nodes.select("rep", words.alias("w"), F.explode(F.sequence(F.lit(0), F.lit(2 * WORDS_WIDE * WIDTH - 1))).alias("i"))
-    word, shift = f"element_at(w, cast(i div {2 * WIDTH} as int) + 1)", f"cast(i div {WIDTH} % 2 * {WIDTH} as int)"
-    part = f"shiftrightunsigned({word}, {shift}) & {(1 << WIDTH) - 1}L & ~shiftleft(1L, i % {WIDTH})"
-    return rows.selectExpr("rep", f"shiftleft(cast(i as long), 32) | ({part}) AS key")
+def _sides(nodes: DataFrame) -> tuple[DataFrame, DataFrame, F.Column]:
+    """The columns of nodes as those of an edge's ends, and whether the sketches of a and b show a similarity of LEAST."""
+    a, b = (nodes.select(F.col("rep").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in SKETCHED)) for n in ("a", "b"))
+    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCHED), F.lit(0))
+    return a, b, differ <= int(32 * SKETCH * (1 - LEAST))
 
 
 def wide_links(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
-    """Edges (a, b) between nodes (rep, w0, ..., s0, ...) that share a variant and whose sketches show a similarity of LEAST.
-
-    Under each variant every fingerprint is compared with the one before it in order of rep and with the first, so a variant
-    with n of them makes 2 n comparisons, not all pairs; near copies share dozens of variants with ever other
-    neighbours, which connects them. Variants that a sample shows to be crowded are cut into 64 salted parts, whose
-    first members are compared in the same way."""
-    rows = wide_variants(nodes).withColumn("salt", F.lit(0))
-    some = wide_variants(nodes.where(F.pmod(F.xxhash64("rep"), F.lit(64)) == 0))
+    """Edges (a, b) between nodes (rep, s0, ..., prefix) that join the same nodes as all pairs that share a shingle of their prefixes
+    (so all pairs of 3/4 or more) and whose sketches show a similarity of LEAST.
+
+    Lists of up to LIST nodes under one shingle give all their pairs. In larger ones each node is first compared with the one before it
+    and the first; then all pairs of nodes that are not yet connected are compared within the join, which makes rows of links only.
+    Lists that a sample shows to be crowded go the second way without being counted first, in salted parts."""
+    rows = nodes.select("rep", F.explode("prefix").alias("key"))
+    some = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(64)) == 0).select(F.explode("prefix").alias("key"))
     hot = stored(some.groupBy("key").count().where(F.col("count") >= often).select("key"), "hot")
-    crowded = not hot.isEmpty()
-    if crowded:
-        rows = rows.join(hot.withColumn("hit", F.lit(1)), "key", "left").select("rep", "key", F.when(F.col("hit") == 1, F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int")).otherwise(0).alias("salt"))
-    parts = [_neighbours(rows)]
-    if crowded:
-        parts.append(_neighbours(rows.join(hot, "key", "left_semi").groupBy("key", "salt").agg(F.min("rep").alias("rep")).select("rep", "key", F.lit(0).alias("salt"))))
-    edges = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-    edges = stored(edges.distinct(), "candidates")
-    left, right = (nodes.select(F.col("rep").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in SKETCHED)) for n in ("a", "b"))
-    differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCHED), F.lit(0))
-    return edges.join(left, "a").join(right, "b").where(differ <= int(32 * SKETCH * (1 - LEAST))).select("a", "b")
+    left, right, near = _sides(nodes)
+    crowded = rows.join(F.broadcast(hot), "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int"))
+    live = rows.join(F.broadcast(hot), "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    live = stored(live, "live")
+    few = live.where(F.col("n") <= LIST).select("key", F.col("rep").alias("a"))
+    pairs = few.join(few.select("key", F.col("a").alias("b")), "key").where("a > b").select("a", "b")
+    many = stored(live.where(F.col("n") > LIST).select("rep", "key", F.lit(0).alias("salt")).union(crowded), "many")
+    firsts = many.groupBy("key", "salt").agg(F.min("rep").alias("rep")).select("rep", "key", F.lit(-1).alias("salt"))
+    edges = stored(pairs.union(_neighbours(many)).union(_neighbours(firsts)).distinct(), "candidates")
+    edges = stored(edges.join(left, "a").join(right, "b").where(near).select("a", "b"), "links")
+    if many.isEmpty():
+        return edges
+    found = connected_components(edges).withColumnRenamed("node", "rep")
+    many = many.select("rep", "key").join(found, "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+    many = stored(many, "many")
+    apart = many.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
+    many = stored(many.join(apart, "key", "left_semi"), "apart")
+    block = F.pmod(F.xxhash64("rep"), F.lit(BLOCKS)).cast("int")
+    one = many.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), block.alias("block")).join(left, "a")
+    two = many.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).join(right, "b")
+    return edges.union(one.join(two, ["key", "block"]).where((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct())
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -247,16 +276,16 @@ def _neighbours(rows: DataFrame) -> DataFrame:
 def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id by the links of near_duplicates() and by those of wide_links(): near copies with about 0.8 of all
     their five-word shingles in common or more. Null, repeated and empty rows as in near_duplicates()."""
-    names = ["fp", *WIDE, *SKETCHED]
+    names = NAMES
     rows = stored(all_fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = stored(rows.groupBy(*names).agg(F.min("id").alias("rep")), "nodes")
+    nodes = stored(rows.groupBy(*names).agg(F.min("id").alias("rep"), F.min_by("prefix", "id").alias("prefix")), "nodes")
     known = nodes.where("rep IS NOT NULL")
     same = known.groupBy("fp").agg(F.min("rep").alias("first"))
     edges = known.join(same, "fp").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
     edges = edges.union(links(stored(same.withColumnRenamed("first", "rep").select("rep", "fp"), "narrow"))).union(wide_links(known))
     found = connected_components(edges)
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(stored(named, "components"), names, "left").select(F.col("id").alias("doc_id"), "component_id")
+    return rows.drop("prefix").join(stored(named, "components"), names, "left").select(F.col("id").alias("doc_id"), "component_id")
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

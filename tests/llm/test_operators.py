@@ -459,6 +459,28 @@ def test_wide_links_find_near_copies(spark, often, monkeypatch):
     assert got == {i: first[g] for i, g in group.items()}
 
 
+def test_copies_in_a_crowd_are_linked(spark):
+    """All texts share most of a passage with each other, and the copy of each lies 300 ids on."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmno"), 6))
+
+    def changed(words, k):
+        words = words.copy()
+        for i in rng.choice(len(words), k, replace=False):
+            words[i] = word()
+        return words
+
+    passage, n = [word() for _ in range(250)], 300
+    texts = [changed(passage, 12) for _ in range(n)]
+    texts += [changed(t, 4) for t in texts]
+    sets = [{*simhash.shingles(" ".join(t).encode(), 5)} for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert all(alike(i, n + i) > 0.8 for i in range(n)) and max(alike(i, j) for i in range(n) for j in range(i)) < 0.7
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(n) if got[i] != got[n + i]] == [] and len({*got.values()}) > n / 2
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(300, 380)] + [(0, int(x)) for x in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(400, 500, (60, 2))] + [(5, 5), (None, 3)]
