@@ -1,9 +1,10 @@
 """License scans by a positional rare-token index (operator 1).
 
 Templates of licence notices are posted by word and position. The weights of their words come from the whole corpus: the
-inverse document frequency. A file's rarest licence words are looked up; each posting proposes to lay its template with
-its first word at (place - position), proposals that agree are intersected, and the best are compared word by word. A
-label also needs its template's key phrases, word by word, within the text that the template covers.
+inverse document frequency. All places of each template's rarest words are looked up; each posting proposes to lay its template
+with its first word at (place - position), and the proposals are compared word by word. At least one more word is looked up than
+may disagree, so no place of a template is missed. A label also needs its template's key phrases, word by word, within the
+text that the template covers.
 
 Short phrases are templates too, without alternatives: each place of a phrase's rarest word is looked up, and all words
 are compared, so all places of a phrase are found.
@@ -11,6 +12,7 @@ are compared, so all places of a phrase are found.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -68,10 +70,7 @@ class Index:
         self.phrases = [(words_of(p.encode()), label) for p, label in phrases.items()]
         self.vocabulary = {w for _, words, _ in self.templates for w in words} | {w for words, _ in self.phrases for w in words}
         self.idf = idf or {}
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        for t, (_, words, _) in enumerate(self.templates):
-            for i, w in enumerate(words):
-                self.postings[w].append((t, i))
+        self.looked_up: dict[tuple, dict[bytes, list[tuple[int, int]]]] = {}
         self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for p, (words, _) in enumerate(self.phrases):
             i = max(range(len(words)), key=lambda i: (self.weight(words[i]), -i))
@@ -80,18 +79,30 @@ class Index:
     def weight(self, word: bytes) -> float:
         return self.idf.get(word, 1e9)
 
+    def postings(self, rarest: int, least_idf: float, cover: float) -> dict[bytes, list[tuple[int, int]]]:
+        """Template and position of the words that are looked up: of each template the `rarest` rarest, and one more than may
+        disagree at least; words below least_idf are not."""
+        if (rarest, least_idf, cover) not in self.looked_up:
+            out = self.looked_up[rarest, least_idf, cover] = defaultdict(list)
+            for t, (_, words, _) in enumerate(self.templates):
+                least = len(words) - math.ceil(cover * len(words) - 1e-9) + 1
+                for i in sorted(range(len(words)), key=lambda i: (-self.weight(words[i]), i))[: max(rarest, least)]:
+                    if self.weight(words[i]) >= least_idf:
+                        out[words[i]].append((t, i))
+        return self.looked_up[rarest, least_idf, cover]
+
     def scan(self, words: list[bytes], rarest: int, least_idf: float, cover: float) -> tuple[list[int], set[str], set[str], float]:
         """Places of the phrases, their labels, the templates' labels, and the share of words of the best template."""
         present = self.vocabulary.intersection(words)
         if not present:
             return [], set(), set(), 0.0
-        rare = {w for w in sorted(present, key=lambda w: (-self.weight(w), w))[:rarest] if self.weight(w) >= least_idf}
-        wanted = rare | (present & self.anchors.keys())
+        postings = self.postings(rarest, least_idf, cover)
+        wanted = present & (postings.keys() | self.anchors.keys())
         if not wanted:
             return [], set(), set(), 0.0
         starts: set[int] = set()
         base: set[str] = set()
-        votes: Counter = Counter()
+        proposed: set[tuple[int, int]] = set()
         for place, w in enumerate(words):
             if w in wanted:
                 for p, i in self.anchors.get(w, ()):
@@ -99,15 +110,11 @@ class Index:
                     if place >= i and words[place - i : place - i + len(phrase)] == phrase:
                         starts.add(place - i)
                         base.add(label)
-                if w in rare:
-                    for t, i in self.postings[w]:
-                        votes[t, place - i] += 1
+                proposed.update((t, place - i) for t, i in postings.get(w, ()))
         labels: set[str] = set()
         score = 1.0 if starts else 0.0
-        for (t, at), n in votes.items():
+        for t, at in proposed:
             label, template, keys = self.templates[t]
-            if n < min(2, sum(w in rare for w in template)):
-                continue
             first = max(at, 0)
             text = words[first : at + len(template)]
             share = sum(a == b for a, b in zip(text, template[first - at :], strict=False)) / len(template)
@@ -142,7 +149,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_words, n_base and places (starts of all phrases, in words from 0), first_word, last_word, base_labels,
     labels (with those of templates), score (share of the best accepted template's words that agree; 1 for a phrase).
 
-    `rarest`: words of a file that are looked up for templates; words in more than `common` of all texts are not.
+    `rarest`: words of each template that are looked up, at least; words in more than `common` of all texts are not.
     `cover`: least share of a template's words. Null and empty texts have no words, no labels and score 0; first_word and
     last_word are null without a place. Labels are distinct, sorted and comma-joined, or empty. One row for each row of
     the input, in two passes without a shuffle of texts; the counts that come to the driver are one for each licence word.

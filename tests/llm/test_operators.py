@@ -88,6 +88,15 @@ def test_license_needs_key_phrase():
     assert index.scan(broken, 8, 0, 0.8)[2] == set()
 
 
+def test_license_scan_finds_all_notices_of_a_file():
+    frequent = dict.fromkeys([b"licensed", b"under", b"cc", b"by", b"nc", b"4", b"0"], 1.0)
+    index = license_scan.Index(license_scan.TEMPLATES, license_scan.PHRASES, frequent)
+    both = b"Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Licensed under CC BY-NC 4.0"
+    assert index.scan(license_scan.words_of(both), 8, 0, 0.8)[2] == {"mit", "cc-by-nc-4.0"}
+    every = license_scan.words_of(" and so on ".join(t.text for t in license_scan.TEMPLATES).encode())
+    assert index.scan(every, 8, 0, 0.8)[2] == {t.label for t in license_scan.TEMPLATES}
+
+
 # 2
 
 
