@@ -80,14 +80,14 @@ class Index:
         return self.idf.get(word, 1e9)
 
     def postings(self, rarest: int, least_idf: float, cover: float) -> dict[bytes, list[tuple[int, int]]]:
-        """Template and position of the words that are looked up: of each template the `rarest` rarest, and one more than may
-        disagree at least; words below least_idf are not."""
+        """Template and position of the words that are looked up: of each template one more than may disagree, the rarest,
+        and of its `rarest` rarest those of least_idf or more."""
         if (rarest, least_idf, cover) not in self.looked_up:
             out = self.looked_up[rarest, least_idf, cover] = defaultdict(list)
             for t, (_, words, _) in enumerate(self.templates):
                 least = len(words) - math.ceil(cover * len(words) - 1e-9) + 1
-                for i in sorted(range(len(words)), key=lambda i: (-self.weight(words[i]), i))[: max(rarest, least)]:
-                    if self.weight(words[i]) >= least_idf:
+                for k, i in enumerate(sorted(range(len(words)), key=lambda i: (-self.weight(words[i]), i))):
+                    if k < least or (k < rarest and self.weight(words[i]) >= least_idf):
                         out[words[i]].append((t, i))
         return self.looked_up[rarest, least_idf, cover]
 
@@ -149,7 +149,8 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, n_words, n_base and places (starts of all phrases, in words from 0), first_word, last_word, base_labels,
     labels (with those of templates), score (share of the best accepted template's words that agree; 1 for a phrase).
 
-    `rarest`: words of each template that are looked up, at least; words in more than `common` of all texts are not.
+    `rarest`: words of each template that are looked up; those in more than `common` of all texts only as far as `cover` needs
+    them, so frequency decides on cost, never on labels.
     `cover`: least share of a template's words. Null and empty texts have no words, no labels and score 0; first_word and
     last_word are null without a place. Labels are distinct, sorted and comma-joined, or empty. One row for each row of
     the input, in two passes without a shuffle of texts; the counts that come to the driver are one for each licence word.
@@ -159,7 +160,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts, n = document_frequency(texts, Index(templates, phrases).vocabulary)
     idf = {w: float(np.log((n + 1) / (c + 1))) for w, c in counts.items()}
     index = Index(templates, phrases, idf)
-    least_idf = float(np.log(1 / common)) if n >= 100 else 0.0
+    least_idf = float(np.log(1 / common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

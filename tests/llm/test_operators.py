@@ -88,6 +88,14 @@ def test_license_needs_key_phrase():
     assert index.scan(broken, 8, 0, 0.8)[2] == set()
 
 
+@pytest.mark.parametrize("n", [99, 300])
+def test_license_scan_finds_notices_of_many_files(spark, n):
+    ends = ("Licensed under CC BY-NC 4.0", "licensed under the Apache License, Version 2.0", "nothing")
+    rows = spark.createDataFrame([(i, f"some text {ends[i % 3]}") for i in range(n)], "doc_id long, text string")
+    got = {r["doc_id"]: {*r["labels"].split(",")} for r in license_scan.license_scan(rows).collect()}
+    assert all("cc-by-nc-4.0" in got[i] and "apache-2.0" in got[i + 1] and got[i + 2] == {""} for i in range(0, n, 3))
+
+
 def test_license_scan_finds_all_notices_of_a_file():
     frequent = dict.fromkeys([b"licensed", b"under", b"cc", b"by", b"nc", b"4", b"0"], 1.0)
     index = license_scan.Index(license_scan.TEMPLATES, license_scan.PHRASES, frequent)
