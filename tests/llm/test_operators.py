@@ -614,6 +614,16 @@ def test_lm_gradient():
     assert np.allclose(pseudo_likelihood.flat(pseudo_likelihood.unflat(pseudo_likelihood.flat(p), p)), pseudo_likelihood.flat(p))
 
 
+def test_lm_trains_on_every_document(spark):
+    texts = [(i, f"word{i} and other{i} again " * 40) for i in range(5)]
+    for n in (1, 5):
+        p, classes = pseudo_likelihood.fit(spark.createDataFrame(texts[:n], "id long, text string"), rounds=1)
+        counts = np.bincount(np.concatenate([pseudo_likelihood.tokens([x.encode()])[0] for _, x in texts[:n]]), minlength=1 << pseudo_likelihood.TOKEN_BITS)
+        moved = (p["embed"] != pseudo_likelihood.initial(counts, classes)["embed"]).any(axis=1)
+        used = {int(k) for _, x in texts[:n] for k in pseudo_likelihood.inputs(pseudo_likelihood.tokens([x.encode()])[0])}
+        assert {*np.flatnonzero(moved).tolist()} >= used
+
+
 def test_lm_odd_rows(odd, none):
     rows = pseudo_likelihood.lm_score(odd, rounds=1).collect()
     assert len(rows) == odd.count() and pseudo_likelihood.lm_score(none).count() == 0
