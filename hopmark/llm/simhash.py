@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +77,7 @@ def links(fps: DataFrame, pairwise: int = PAIRWISE, often: int = PAIRWISE) -> Da
     A variant of up to `pairwise` fingerprints gives its verified pairs. The fingerprints of larger ones are entered
     under all their variants with two wildcards, out of the bits in which such fingerprints differ: those under one such
     variant are all within two bits of each other, and each is joined to the smallest. That path makes no pairs and
-    drops nothing. A pair of which one variant is small and another large is found by either way.
+    drops nothing; it costs at most 2,080 short rows for each distinct crowded fingerprint (64 bits, two at a time), however large the crowd. A pair of which one variant is small and another large is found by either way.
     """
     hot = hot_keys(fps, often)
     rows, crowded = variants(fps), None
@@ -120,16 +121,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.join(named, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Sketches decide on proposed pairs: SKETCH words of 64 one-bit minima of hashed shingles of SHINGLE words. Bits differ with
-#: probability (1 - similarity) / 2, so the similarity read from 768 bits deviates by 0.022 at 0.8. It must be at least
-#: LEAST, two deviations below 0.8, so that few pairs of 0.8 are lost.
-SKETCH, SHINGLE, LEAST = 12, 5, 0.755
+#: Near copies have 4/5 of their distinct shingles of SHINGLE words in common, or more. Sketches of SKETCH words of 64 one-bit minima of hashed
+#: shingles sort proposed pairs: bits differ with probability (1 - similarity) / 2, so the similarity read from 768 bits deviates by
+#: 0.022 at 0.8. Pairs of SURE or more (over four deviations above) are near copies, those below DOUBTFUL (five below) are not;
+#: the sets of all others are intersected.
+SKETCH, SHINGLE, SURE, DOUBTFUL = 12, 5, 0.9, 0.69
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**64, 64 * SKETCH, np.uint64) | np.uint64(1)
 NOT_SPACE = np.ones(256, np.uint8)
 NOT_SPACE[[0x20, *range(9, 14)]] = 0
-#: Shared shingles propose pairs. Of two sets with 3/4 of their union in common, each has a shared one among its first quarter in any
-#: common order. Those that a sample of one document in HEAVY_SAMPLE shows HEAVY_LEAST times (the HEAVY most frequent ones) come
-#: last in that order, which shortens the lists of documents and changes no pair of 3/4 or more.
+#: Shared shingles propose pairs. Of two sets with 4/5 of their union in common, each has a shared one among its first fifth and one
+#: in any common order. Those that a sample of one document in HEAVY_SAMPLE shows HEAVY_LEAST times (the HEAVY most frequent ones) come
+#: last in that order, which shortens the lists of documents and changes no pair of 4/5 or more.
 HEAVY_SAMPLE, HEAVY_LEAST, HEAVY = 16, 4, 100_000
 #: Lists of up to so many documents are compared pair by pair at once; larger ones after cheaper links have been made. Their blocks.
 LIST, BLOCKS = 32, 16
@@ -166,27 +168,37 @@ def sketches(w: Words, h: np.ndarray) -> np.ndarray:
     return np.packbits(out, axis=1).view(np.int64)
 
 
-def prefixes(joint: np.ndarray, n: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each text's distinct shingles, the first quarter and one more in the common order (heavy ones last, by rank; then by
-    hash), and a digest of the whole set."""
+class Sets(NamedTuple):
+    """Of each text: the first shingles of its set in the common order, the whole set as 32-bit hashes, a digest of the set, and its size."""
+
+    prefix: list[np.ndarray]
+    grams: list[np.ndarray]
+    whole: np.ndarray
+    size: np.ndarray
+
+
+def shingle_sets(joint: np.ndarray, n: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> Sets:
+    """The prefix of a set is its first fifth and one more, heavy shingles last (by rank), then by hash."""
     late = np.zeros(len(joint), np.int64)
     if len(heavy) and len(joint):
         at = np.minimum(np.searchsorted(heavy, joint), len(heavy) - 1)
         late = np.where(heavy[at] == joint, rank[at] + 1, 0)
-    out, digests = [], np.zeros(len(n), np.uint64)
+    prefix, grams, digests, size = [], [], np.zeros(len(n), np.uint64), np.zeros(len(n), np.int64)
     ends = np.cumsum(n)
     with np.errstate(over="ignore"):
         for i, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
             u, where = np.unique(joint[a:b], return_index=True)
             digests[i] = ((u ^ (u >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).sum()
-            size = len(u) - (3 * len(u) + 3) // 4 + 1 if len(u) else 0
-            out.append(u[np.argsort(late[a + where], kind="stable")[:size]].view(np.int64))
-    return out, digests.view(np.int64)
+            size[i] = len(u)
+            first = len(u) - (4 * len(u) + 4) // 5 + 1 if len(u) else 0
+            prefix.append(u[np.argsort(late[a + where], kind="stable")[:first]].view(np.int64))
+            grams.append(np.unique((u >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+    return Sets(prefix, grams, digests.view(np.int64), size)
 
 
-#: Columns that tell texts apart; texts of one set of shingles agree in all but the first.
+#: Columns that tell sets of shingles apart.
 SKETCHED = [f"s{i}" for i in range(SKETCH)]
-NAMES = ["fp", "whole", *SKETCHED]
+NAMES = ["fp", "whole", "n", *SKETCHED]
 
 
 def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -207,36 +219,60 @@ def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], np.arange(len(h))[::-1][order]
 
 
+def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
+
+
 def all_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp, a digest of the set of shingles, the sketch as s0, s1, ... and the first shingles of the set."""
+    """Per row: id, h (a hash of the text), fp, a digest of the set of shingles and its size, the sketch as s0, s1, ..., the first shingles of
+    the set, and the whole set (grams)."""
     bounded_batches(df.sparkSession)
     texts = id_and_text(df, id_col, text_col)
     heavy, rank = heavy_shingles(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            done = 0
             for ids, part in pieces(batch, 1 << 20):
                 w = Words(part, NOT_SPACE)
                 h = w.hashes(SEED)
-                first, whole = prefixes(*shingle_hashes(w, h), heavy, rank)
-                at = np.concatenate([[0], np.cumsum([len(x) for x in first])])
-                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int64()))
+                sets = shingle_sets(*shingle_hashes(w, h), heavy, rank)
                 fps = pa.array([fingerprint(t) for t in part], pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, fps, pa.array(whole), *(pa.array(np.ascontiguousarray(c)) for c in sketches(w, h).T), lists], ["id", *NAMES, "prefix"])
+                columns = [ids, batch.column(2).slice(done, len(part)), fps, pa.array(sets.whole), pa.array(sets.size), *(pa.array(np.ascontiguousarray(c)) for c in sketches(w, h).T)]
+                yield pa.RecordBatch.from_arrays([*columns, _lists(sets.prefix, pa.int64()), _lists(sets.grams, pa.int32())], ["id", "h", *NAMES, "prefix", "grams"])
+                done += len(part)
 
-    return texts.mapInArrow(tidy(run), ", ".join(f"{n} long" for n in ["id", *NAMES]) + ", prefix array<long>")
+    return texts.withColumn("h", text_hash("text")).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in ["id", "h", *NAMES]) + ", prefix array<long>, grams array<int>")
 
 
-def _sides(nodes: DataFrame) -> tuple[DataFrame, DataFrame, F.Column]:
-    """The columns of nodes as those of an edge's ends, and whether the sketches of a and b show a similarity of LEAST."""
-    a, b = (nodes.select(F.col("rep").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in SKETCHED)) for n in ("a", "b"))
+def text_hash(text_col: str) -> F.Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def _sides(nodes: DataFrame) -> tuple[DataFrame, DataFrame, F.Column, F.Column]:
+    """The columns of nodes as those of an edge's ends; bits in which the sketches of a and b differ, and whether these and the sizes of
+    the sets allow a similarity of 4/5."""
+    a, b = (nodes.select(F.col("rep").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ["n", *SKETCHED])) for n in ("a", "b"))
     differ = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SKETCHED), F.lit(0))
-    return a, b, differ <= int(32 * SKETCH * (1 - LEAST))
+    sizes = (5 * F.col("a_n") >= 4 * F.col("b_n")) & (5 * F.col("b_n") >= 4 * F.col("a_n"))
+    return a, b, differ, sizes & (differ <= int(32 * SKETCH * (1 - DOUBTFUL)))
+
+
+def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Of pairs (a, b, differ), those whose sets, grams (rep, grams), have 4/5 of their union in common; sketches that differ little are proof."""
+    sure = F.col("differ") <= int(32 * SKETCH * (1 - SURE))
+    doubtful = pairs.where(~sure).select("a", "b")
+    wanted = doubtful.select(F.col("a").alias("rep")).union(doubtful.select("b")).distinct()
+    sets = stored(grams.join(wanted, "rep", "left_semi"), "sets")
+    one, two = (sets.select(F.col("rep").alias(n), F.col("grams").alias(f"{n}_set")) for n in ("a", "b"))
+    alike = 9 * F.size(F.array_intersect("a_set", "b_set")) >= 4 * (F.size("a_set") + F.size("b_set"))
+    return pairs.where(sure).select("a", "b").union(doubtful.join(one, "a").join(two, "b").where(alike).select("a", "b"))
 
 
-def wide_links(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
-    """Edges (a, b) between nodes (rep, s0, ..., prefix) that join the same nodes as all pairs that share a shingle of their prefixes
-    (so all pairs of 3/4 or more) and whose sketches show a similarity of LEAST.
+def wide_links(nodes: DataFrame, grams: DataFrame, often: int = PAIRWISE) -> DataFrame:
+    """Edges (a, b) between nodes (rep, n, s0, ..., prefix) with sets of shingles grams (rep, grams) that join the same nodes as all pairs
+    with 4/5 of their sets' union in common: such a pair shares a shingle of its prefixes.
 
     Lists of up to LIST nodes under one shingle give all their pairs. In larger ones each node is first compared with the one before it
     and the first; then all pairs of nodes that are not yet connected are compared within the join, which makes rows of links only.
@@ -244,16 +280,17 @@ def wide_links(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
     rows = nodes.select("rep", F.explode("prefix").alias("key"))
     some = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(64)) == 0).select(F.explode("prefix").alias("key"))
     hot = stored(some.groupBy("key").count().where(F.col("count") >= often).select("key"), "hot")
-    left, right, near = _sides(nodes)
-    crowded = rows.join(F.broadcast(hot), "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int"))
-    live = rows.join(F.broadcast(hot), "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    left, right, differ, near = _sides(nodes)
+    crowded = rows.join(hot, "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int"))
+    live = rows.join(hot, "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     live = stored(live, "live")
     few = live.where(F.col("n") <= LIST).select("key", F.col("rep").alias("a"))
     pairs = few.join(few.select("key", F.col("a").alias("b")), "key").where("a > b").select("a", "b")
-    many = stored(live.where(F.col("n") > LIST).select("rep", "key", F.lit(0).alias("salt")).union(crowded), "many")
+    many = stored(live.where(F.col("n") > LIST).select("rep", "key", F.lit(0).alias("salt")).unionByName(crowded), "many")
     firsts = many.groupBy("key", "salt").agg(F.min("rep").alias("rep")).select("rep", "key", F.lit(-1).alias("salt"))
     edges = stored(pairs.union(_neighbours(many)).union(_neighbours(firsts)).distinct(), "candidates")
-    edges = stored(edges.join(left, "a").join(right, "b").where(near).select("a", "b"), "links")
+    edges = stored(edges.join(left, "a").join(right, "b").where(near).select("a", "b", differ.alias("differ")), "near")
+    edges = stored(verified(edges, grams), "links")
     if many.isEmpty():
         return edges
     found = connected_components(edges).withColumnRenamed("node", "rep")
@@ -264,7 +301,8 @@ def wide_links(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
     block = F.pmod(F.xxhash64("rep"), F.lit(BLOCKS)).cast("int")
     one = many.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), block.alias("block")).join(left, "a")
     two = many.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).join(right, "b")
-    return edges.union(one.join(two, ["key", "block"]).where((F.col("ca") < F.col("cb")) & near).select("a", "b").distinct())
+    more = one.join(two, ["key", "block"]).where((F.col("ca") < F.col("cb")) & near).select("a", "b", differ.alias("differ")).distinct()
+    return edges.union(verified(stored(more, "near"), grams))
 
 
 def _neighbours(rows: DataFrame) -> DataFrame:
@@ -273,23 +311,49 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     return near.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("before", "first"))).alias("b")).where("a <> b")
 
 
-def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id by the links of near_duplicates() and by those of wide_links(): near copies with about 0.8 of all
-    their five-word shingles in common or more. Null, repeated and empty rows as in near_duplicates()."""
-    names = NAMES
-    rows = stored(all_fingerprints(df, id_col, text_col), "fingerprints")
-    nodes = stored(rows.groupBy(*names).agg(F.min("id").alias("rep"), F.min_by("prefix", "id").alias("prefix")), "nodes")
-    known = nodes.where("rep IS NOT NULL")
-    same = known.groupBy("fp").agg(F.min("rep").alias("first"))
-    edges = known.join(same, "fp").where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b"))
-    edges = edges.union(links(stored(same.withColumnRenamed("first", "rep").select("rep", "fp"), "narrow"))).union(wide_links(known))
+#: The row of a group that stays: the smallest id, null ids last, then the smallest hash of the text.
+FIRST = "struct(id IS NULL AS no_id, id, h)"
+
+
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of df: id, h (a hash of the text), first (the row of its group that stays, as FIRST).
+
+    Groups are joined by the links of near_duplicates() and by those of wide_links(). The nodes are sets of shingles with fingerprints, never ids,
+    so rows that share an id are told apart by their texts."""
+    rows = stored(all_fingerprints(df, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
+    nodes = rows.groupBy(*NAMES).agg(F.min("rid").alias("rep"), F.expr(f"min({FIRST})").alias("first"), F.min_by("prefix", "rid").alias("prefix"))
+    nodes = stored(nodes, "nodes")
+    same = nodes.groupBy("fp").agg(F.min("rep").alias("lead"))
+    edges = nodes.join(same, "fp").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
+    edges = edges.union(links(stored(same.withColumnRenamed("lead", "rep").select("rep", "fp"), "narrow")))
+    edges = edges.union(wide_links(nodes, rows.select(F.col("rid").alias("rep"), "grams")))
     found = connected_components(edges)
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*names, F.coalesce("component", "rep").alias("component_id"))
-    return rows.drop("prefix").join(stored(named, "components"), names, "left").select(F.col("id").alias("doc_id"), "component_id")
+    named = nodes.join(found, nodes["rep"] == found["node"], "left").select(*NAMES, "first", F.coalesce("component", "rep").alias("component"))
+    named = stored(named, "components")
+    firsts = named.groupBy("component").agg(F.min("first").alias("least"))
+    lead = stored(named.join(firsts, "component").select(*NAMES, F.col("least").alias("first")), "firsts")
+    return rows.select("id", "h", *NAMES).join(lead, NAMES, "left").select("id", "h", "first")
+
+
+def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id (the smallest id of the group, its own included) of each row: groups by the links of near_duplicates() and
+    by near copies with 4/5 of their distinct five-word shingles in common or more. Null, empty and blank texts are one group; rows with a null
+    id take the group of their text, whose component_id is null if none of it has an id."""
+    return grouped(df, id_col, text_col).select(F.col("id").alias("doc_id"), F.col("first.id").alias("component_id"))
 
 
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df whose id is the smallest of their group (copy_groups), with all their columns; rows with a null id
-    stay. Rows that share an id stay or go together."""
-    found = copy_groups(df, id_col, text_col)
-    return without_keys(df, F.col(id_col).cast("long"), found.where("doc_id <> component_id").select("doc_id"))
+    """One row of each group of copy_groups(), with all its columns: that of the smallest id (null ids last; of several texts with one id, that of
+    the smallest hash). Of rows that agree in id and text, any one. Rows that share an id but not a group stay."""
+    found = stored(grouped(df, id_col, text_col).groupBy("id", "h", "first").count(), "decisions")
+    key = lambda i, h: F.struct(i.isNull(), F.coalesce(i, F.lit(0)), h)
+    mark = key(F.col(id_col).cast("long"), text_hash(text_col))
+    stays = (F.col("first.no_id") == F.col("id").isNull()) & F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h"))
+    own = key(F.col("id"), F.col("h"))
+    kept = without_keys(df, mark, found.where(~stays).select(own))
+    repeated = stored(found.where(stays & (F.col("count") > 1)).select(own.alias("key")), "repeated")
+    if repeated.isEmpty():
+        return kept
+    single = without_keys(kept, mark, repeated)
+    inner = kept.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), mark.alias("key")).join(repeated, "key", "left_semi")
+    return single.union(inner.groupBy("key").agg(F.first("row").alias("row")).select("row.*"))
