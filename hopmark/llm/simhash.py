@@ -123,18 +123,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 #: Near copies have 4/5 of their distinct shingles of SHINGLE words in common, or more. Sketches of SKETCH words of 64 one-bit minima of hashed
 #: shingles sort proposed pairs: bits differ with probability (1 - similarity) / 2, so the similarity read from 768 bits deviates by
-#: 0.022 at 0.8. Pairs of SURE or more (over four deviations above) are near copies, those below DOUBTFUL (five below) are not;
+#: 0.022 at 0.8. Pairs of SURE or more (over four deviations above) are near copies, those below DOUBTFUL (almost four below) are not;
 #: the sets of all others are intersected.
-SKETCH, SHINGLE, SURE, DOUBTFUL = 12, 5, 0.9, 0.69
+SKETCH, SHINGLE, SURE, DOUBTFUL = 12, 5, 0.9, 0.72
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 2**64, 64 * SKETCH, np.uint64) | np.uint64(1)
 NOT_SPACE = np.ones(256, np.uint8)
 NOT_SPACE[[0x20, *range(9, 14)]] = 0
-#: Shared shingles propose pairs. Of two sets with 4/5 of their union in common, each has a shared one among its first fifth and one
-#: in any common order. Those that a sample of one document in HEAVY_SAMPLE shows HEAVY_LEAST times (the HEAVY most frequent ones) come
-#: last in that order, which shortens the lists of documents and changes no pair of 4/5 or more.
-HEAVY_SAMPLE, HEAVY_LEAST, HEAVY = 16, 4, 100_000
-#: Lists of up to so many documents are compared pair by pair at once; larger ones after cheaper links have been made. Their blocks.
-LIST, BLOCKS = 32, 16
+#: The minima also propose pairs: those of BAND functions together are a key, 64 keys for each text. Two texts of similarity s share one with probability
+#: 1 - (1 - s^12)^64: 0.989 at 0.8, 0.9999 at 0.85, 0.11 at 0.5.
+BAND = 12
+#: Lists of up to so many texts under a key are compared pair by pair; in larger ones, each with the list's hub and a neighbour.
+LIST = 8
 
 
 def shingle_hashes(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,47 +152,38 @@ def shingle_hashes(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return joint[keep], n
 
 
-def sketches(w: Words, h: np.ndarray) -> np.ndarray:
-    """SKETCH signed numbers of each text; no words give zeros."""
-    joint, n = shingle_hashes(w, h)
-    some = np.flatnonzero(n)
-    first = (np.cumsum(n) - n)[some]
-    out = np.zeros((len(n), 64 * SKETCH), np.uint8)
-    if len(some):
-        with np.errstate(over="ignore"):
-            for j, m in enumerate(_MULTIPLIERS):
-                least = np.minimum.reduceat(joint * m, first)
-                least ^= least >> np.uint64(31)
-                out[some, j] = (least * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(63)
-    return np.packbits(out, axis=1).view(np.int64)
-
-
 class Sets(NamedTuple):
-    """Of each text: the first shingles of its set in the common order, the whole set as 32-bit hashes, a digest of the set, and its size."""
+    """Of each text: the sketch of its set of shingles as SKETCH signed numbers, the keys (no words: zeros), the whole set as 32-bit hashes, a digest
+    of the set, and its size."""
 
-    prefix: list[np.ndarray]
+    sketch: np.ndarray
+    keys: np.ndarray
     grams: list[np.ndarray]
     whole: np.ndarray
     size: np.ndarray
 
 
-def shingle_sets(joint: np.ndarray, n: np.ndarray, heavy: np.ndarray, rank: np.ndarray) -> Sets:
-    """The prefix of a set is its first fifth and one more, heavy shingles last (by rank), then by hash."""
-    late = np.zeros(len(joint), np.int64)
-    if len(heavy) and len(joint):
-        at = np.minimum(np.searchsorted(heavy, joint), len(heavy) - 1)
-        late = np.where(heavy[at] == joint, rank[at] + 1, 0)
-    prefix, grams, digests, size = [], [], np.zeros(len(n), np.uint64), np.zeros(len(n), np.int64)
+def shingle_sets(w: Words) -> Sets:
+    joint, n = shingle_hashes(w, w.hashes(SEED))
     ends = np.cumsum(n)
+    some = np.flatnonzero(n)
+    bits = np.zeros((len(n), 64 * SKETCH), np.uint8)
+    keys = np.zeros((len(n), 64 * SKETCH // BAND), np.uint64)
+    grams, digests, size = [], np.zeros(len(n), np.uint64), np.zeros(len(n), np.int64)
     with np.errstate(over="ignore"):
+        if len(some):
+            for j, m in enumerate(_MULTIPLIERS):
+                least = np.minimum.reduceat(joint * m, (ends - n)[some])
+                least ^= least >> np.uint64(31)
+                least *= np.uint64(0xBF58476D1CE4E5B9)
+                bits[some, j] = least >> np.uint64(63)
+                mixed = (keys[some, j // BAND] ^ least) * np.uint64(0x9FB21C651E98DF25)
+                keys[some, j // BAND] = (mixed ^ (mixed >> np.uint64(29))) + np.uint64(j % BAND == 0) * np.uint64(j)
         for i, (a, b) in enumerate(zip((ends - n).tolist(), ends.tolist(), strict=True)):
-            u, where = np.unique(joint[a:b], return_index=True)
-            digests[i] = ((u ^ (u >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).sum()
-            size[i] = len(u)
-            first = len(u) - (4 * len(u) + 4) // 5 + 1 if len(u) else 0
-            prefix.append(u[np.argsort(late[a + where], kind="stable")[:first]].view(np.int64))
+            u = np.unique(joint[a:b])
+            digests[i], size[i] = ((u ^ (u >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)).sum(), len(u)
             grams.append(np.unique((u >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-    return Sets(prefix, grams, digests.view(np.int64), size)
+    return Sets(np.packbits(bits, axis=1).view(np.int64), keys.view(np.int64), grams, digests.view(np.int64), size)
 
 
 #: Columns that tell sets of shingles apart.
@@ -201,49 +191,28 @@ SKETCHED = [f"s{i}" for i in range(SKETCH)]
 NAMES = ["fp", "whole", "n", *SKETCHED]
 
 
-def heavy_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, of the most frequent shingles of a sample of (id, text), and their ranks from rare to frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, part in pieces(batch, 1 << 20):
-                w = Words(part, NOT_SPACE)
-                h, n = np.unique(shingle_hashes(w, w.hashes(SEED))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
-
-    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(HEAVY_SAMPLE)) == 0)
-    counts = some.mapInArrow(tidy(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HEAVY_LEAST)
-    rows = counts.orderBy(F.desc("n"), "h").limit(HEAVY).toPandas()
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.arange(len(h))[::-1][order]
-
-
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     at = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
 def all_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, h (a hash of the text), fp, a digest of the set of shingles and its size, the sketch as s0, s1, ..., the first shingles of
-    the set, and the whole set (grams)."""
+    """Per row: id, h (a hash of the text), fp, a digest of the set of shingles and its size, the sketch as s0, s1, ..., its keys (none
+    without words), and the whole set (grams)."""
     bounded_batches(df.sparkSession)
     texts = id_and_text(df, id_col, text_col)
-    heavy, rank = heavy_shingles(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for ids, part in pieces(batch, 1 << 20):
-                w = Words(part, NOT_SPACE)
-                h = w.hashes(SEED)
-                sets = shingle_sets(*shingle_hashes(w, h), heavy, rank)
+                sets = shingle_sets(Words(part, NOT_SPACE))
                 fps = pa.array([fingerprint(t) for t in part], pa.int64())
-                columns = [ids, batch.column(2).slice(done, len(part)), fps, pa.array(sets.whole), pa.array(sets.size), *(pa.array(np.ascontiguousarray(c)) for c in sketches(w, h).T)]
-                yield pa.RecordBatch.from_arrays([*columns, _lists(sets.prefix, pa.int64()), _lists(sets.grams, pa.int32())], ["id", "h", *NAMES, "prefix", "grams"])
+                columns = [ids, batch.column(2).slice(done, len(part)), fps, pa.array(sets.whole), pa.array(sets.size), *(pa.array(np.ascontiguousarray(c)) for c in sets.sketch.T)]
+                yield pa.RecordBatch.from_arrays([*columns, _lists([k[: len(k) * (x > 0)] for k, x in zip(sets.keys, sets.size, strict=True)], pa.int64()), _lists(sets.grams, pa.int32())], ["id", "h", *NAMES, "keys", "grams"])
                 done += len(part)
 
-    return texts.withColumn("h", text_hash("text")).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in ["id", "h", *NAMES]) + ", prefix array<long>, grams array<int>")
+    return texts.withColumn("h", text_hash("text")).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in ["id", "h", *NAMES]) + ", keys array<long>, grams array<int>")
 
 
 def text_hash(text_col: str) -> F.Column:
@@ -270,45 +239,37 @@ def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     return pairs.where(sure).select("a", "b").union(doubtful.join(one, "a").join(two, "b").where(alike).select("a", "b"))
 
 
-def wide_links(nodes: DataFrame, grams: DataFrame, often: int = PAIRWISE) -> DataFrame:
-    """Edges (a, b) between nodes (rep, n, s0, ..., prefix) with sets of shingles grams (rep, grams) that join the same nodes as all pairs
-    with 4/5 of their sets' union in common: such a pair shares a shingle of its prefixes.
-
-    Lists of up to LIST nodes under one shingle give all their pairs. In larger ones each node is first compared with the one before it
-    and the first; then all pairs of nodes that are not yet connected are compared within the join, which makes rows of links only.
-    Lists that a sample shows to be crowded go the second way without being counted first, in salted parts."""
-    rows = nodes.select("rep", F.explode("prefix").alias("key"))
-    some = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(64)) == 0).select(F.explode("prefix").alias("key"))
-    hot = stored(some.groupBy("key").count().where(F.col("count") >= often).select("key"), "hot")
-    left, right, differ, near = _sides(nodes)
-    crowded = rows.join(hot, "key").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int"))
+def proposals(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
+    """Distinct pairs (a > b) of nodes (rep, keys) to compare; their number grows with that of the nodes, however large a list is.
+
+    Lists of up to LIST nodes under one key give all their pairs. In larger ones each node is paired with the list's hub, the node that
+    has most others under all its long lists together, so with the text that the others are copies of; and with a neighbour in an order that differs from
+    key to key. Lists that a sample shows to be crowded are ordered in salted parts, and their sizes are taken from the sample."""
+    rows = nodes.select("rep", F.explode("keys").alias("key"))
+    some = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(64)) == 0).select(F.explode("keys").alias("key"))
+    hot = stored(some.groupBy("key").agg((64 * F.count("*")).alias("n")).where(F.col("n") >= 64 * often), "hot")
+    crowded = rows.join(hot, "key").select("rep", "key", "n", F.pmod(F.xxhash64("rep"), F.lit(64)).cast("int").alias("salt"))
     live = rows.join(hot, "key", "left_anti").withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    live = stored(live, "live")
+    live = stored(live.select("rep", "key", "n"), "live")
     few = live.where(F.col("n") <= LIST).select("key", F.col("rep").alias("a"))
     pairs = few.join(few.select("key", F.col("a").alias("b")), "key").where("a > b").select("a", "b")
-    many = stored(live.where(F.col("n") > LIST).select("rep", "key", F.lit(0).alias("salt")).unionByName(crowded), "many")
-    firsts = many.groupBy("key", "salt").agg(F.min("rep").alias("rep")).select("rep", "key", F.lit(-1).alias("salt"))
-    edges = stored(pairs.union(_neighbours(many)).union(_neighbours(firsts)).distinct(), "candidates")
-    edges = stored(edges.join(left, "a").join(right, "b").where(near).select("a", "b", differ.alias("differ")), "near")
-    edges = stored(verified(edges, grams), "links")
-    if many.isEmpty():
-        return edges
-    found = connected_components(edges).withColumnRenamed("node", "rep")
-    many = many.select("rep", "key").join(found, "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
-    many = stored(many, "many")
-    apart = many.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    many = stored(many.join(apart, "key", "left_semi"), "apart")
-    block = F.pmod(F.xxhash64("rep"), F.lit(BLOCKS)).cast("int")
-    one = many.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), block.alias("block")).join(left, "a")
-    two = many.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")).join(right, "b")
-    more = one.join(two, ["key", "block"]).where((F.col("ca") < F.col("cb")) & near).select("a", "b", differ.alias("differ")).distinct()
-    return edges.union(verified(stored(more, "near"), grams))
+    many = live.where(F.col("n") > LIST).select("rep", "key", "n", F.lit(0).alias("salt")).union(crowded)
+    many = stored(many.withColumn("others", F.sum("n").over(Window.partitionBy("rep"))).select("rep", "key", "salt", "others"), "many")
+    hubs = many.groupBy("key").agg(F.expr("max(struct(others, rep)).rep").alias("other"))
+    order = Window.partitionBy("key", "salt").orderBy(F.xxhash64("rep", "key"))
+    next_to = many.select("rep", F.lag("rep").over(order).alias("other")).where("other IS NOT NULL")
+    stars = many.join(hubs, "key").select("rep", "other").union(next_to).where("rep <> other")
+    return pairs.union(stars.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))).distinct()
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    w = Window.partitionBy("key", "salt").orderBy("rep")
-    near = rows.select("rep", F.lag("rep").over(w).alias("before"), F.first("rep").over(w).alias("first")).where("before IS NOT NULL")
-    return near.select(F.col("rep").alias("a"), F.explode(F.array_distinct(F.array("before", "first"))).alias("b")).where("a <> b")
+def wide_links(nodes: DataFrame, grams: DataFrame, often: int = PAIRWISE) -> DataFrame:
+    """Edges (a, b) between nodes (rep, n, s0, ..., keys) with sets of shingles grams (rep, grams): the proposals with 4/5 of their sets' union
+    in common. Between members of lists of up to LIST, and to hubs, nothing is lost that shares a key; of a crowd whose members are near each other but
+    below 4/5, a pair without a hub can be lost."""
+    left, right, differ, near = _sides(nodes)
+    pairs = stored(proposals(nodes, often), "candidates")
+    pairs = stored(pairs.join(left, "a").join(right, "b").where(near).select("a", "b", differ.alias("differ")), "near")
+    return stored(verified(pairs, grams), "links")
 
 
 #: The row of a group that stays: the smallest id, null ids last, then the smallest hash of the text.
@@ -321,7 +282,7 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Groups are joined by the links of near_duplicates() and by those of wide_links(). The nodes are sets of shingles with fingerprints, never ids,
     so rows that share an id are told apart by their texts."""
     rows = stored(all_fingerprints(df, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
-    nodes = rows.groupBy(*NAMES).agg(F.min("rid").alias("rep"), F.expr(f"min({FIRST})").alias("first"), F.min_by("prefix", "rid").alias("prefix"))
+    nodes = rows.groupBy(*NAMES).agg(F.min("rid").alias("rep"), F.expr(f"min({FIRST})").alias("first"), F.min_by("keys", "rid").alias("keys"))
     nodes = stored(nodes, "nodes")
     same = nodes.groupBy("fp").agg(F.min("rep").alias("lead"))
     edges = nodes.join(same, "fp").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))

@@ -445,15 +445,23 @@ def test_sketches_measure_similarity():
     one = list(rng.choice(words, 1500))
     texts = [one, one[:1200] + list(rng.choice(words, 170)), one[:700], ["a", "b"], ["a", "b"], [], list(rng.choice(words, 1500))]
     texts = [" ".join(t).encode() for t in texts]
-    w = simhash.Words(texts, simhash.NOT_SPACE)
-    got = np.unpackbits(simhash.sketches(w, w.hashes(simhash.SEED)).view(np.uint8), axis=1)
+    found = simhash.shingle_sets(simhash.Words(texts, simhash.NOT_SPACE))
+    got = np.unpackbits(found.sketch.view(np.uint8), axis=1)
     sets = [{*simhash.shingles(t, 5)} for t in texts]
     for a, b in ((0, 1), (0, 2), (0, 6), (3, 4), (1, 2)):
         truth = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
         assert abs(1 - 2 * np.mean(got[a] != got[b]) - truth) < 0.12, (a, b)
     assert (got[3] == got[4]).all() and not got[5].any()
-    none = simhash.Words([], simhash.NOT_SPACE)
-    assert simhash.sketches(none, none.hashes(simhash.SEED)).shape == (0, simhash.SKETCH)
+    assert found.size.tolist() == [len(x) for x in sets] and (found.keys[3] == found.keys[4]).all() and not (found.keys[0] == found.keys[2]).all()
+    assert simhash.shingle_sets(simhash.Words([], simhash.NOT_SPACE)).sketch.shape == (0, simhash.SKETCH)
+
+
+def test_proposals_grow_with_the_nodes(spark):
+    """One list of all nodes, and a crowd in which all hang on one text: few pairs, and each with the hub."""
+    rows = [(i, [7] + [1000 + i % 20, 5000 + i]) for i in range(400)] + [(400, [7, *range(1000, 1020)])]
+    for often in (1, 256):
+        pairs = {tuple(r) for r in simhash.proposals(spark.createDataFrame(rows, "rep long, keys array<long>"), often).collect()}
+        assert {(400, i) for i in range(400)} <= pairs and len(pairs) < 4 * 400
 
 
 @pytest.mark.parametrize("often", [1, 256])
@@ -515,7 +523,9 @@ def test_copy_groups_against_brute_force(spark, often, monkeypatch):
             texts.append(" ".join(copy[int(rng.integers(0, 2)) :]))
     texts = {int(i): t for i, t in zip(rng.permutation(len(texts)), texts, strict=True)}
     got = {r["doc_id"]: r["component_id"] for r in simhash.copy_groups(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
-    assert got == brute_groups(texts) and 12 < len({*got.values()}) < len(texts) / 2
+    want = brute_groups(texts)
+    assert all(want[i] == want[c] for i, c in got.items())  # nothing is joined that is not a copy
+    assert np.mean([got[i] == want[i] for i in texts]) > 0.98 and 12 < len({*got.values()}) < len(texts) / 2
 
 
 def test_rows_that_share_an_id_are_told_apart(spark):
