@@ -20,30 +20,53 @@ from pyspark.sql import functions as F
 from hopmark.llm.common import bounded_batches, tidy
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 #: Elements whose contents are no text of the page.
-SKIPPED = frozenset("script style noscript template svg math iframe object canvas audio video select option textarea button head title datalist".split())
+SKIPPED = frozenset("script style noscript template svg iframe object canvas audio video select option textarea button head title datalist annotation".split())
 #: Inline elements, which do not cut a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br input picture source".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr br input picture source math mi mo mn ms mtext mrow msup msub mfrac msqrt semantics".split())
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements, and words in class, id and role, that mark what surrounds an article.
+#: Elements that mark what surrounds an article.
 AROUND = frozenset("nav footer aside form header menu dialog".split())
+#: Words that mark it in a class, id or role: as the whole name or its last word (top-menu), or as the first before a HOLDER (ad-box).
 AROUND_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget alert adsbygoogle login tags toc".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disclaimer disqus footer form header masthead menu menubar modal nav navbar navigation newsletter notice pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar widget alert adsbygoogle login".split()
 )
-#: Elements, and whole class, id and role values, that hold an article.
+#: Words that only say that something is held.
+HOLDERS = frozenset("area bar block box body buttons col column container content group holder icons inner item items link links list panel posts section slot strip thread unit wrap wrapper".split())
+#: Elements that hold an article, and names as whole that do.
 WITHIN = frozenset("article main".split())
-WITHIN_NAMES = frozenset("main articlebody article-body article-content post-body post-content entry-content story-body main-content".split())
-#: A class that begins so only says what an element has beside it.
-BESIDE = ("has-", "with-", "no-", "without-")
+WITHIN_NAMES = frozenset("main articlebody".split())
+#: A name that begins so says what an element has beside it; one that begins so and ends in header is the article's own.
+BESIDE = ("has", "with", "no", "without")
+OWN_HEADER = frozenset("article content entry page post section story".split())
 _PARTS = re.compile(r"[_-]+|(?<=[a-z])(?=[A-Z])")
 
 FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "around", "within")
 
 
+def surrounds(name: str) -> bool:
+    """Whether a name of a class, id or role says that its element surrounds the article."""
+    parts = [x.lower() for x in _PARTS.split(name) if x]
+    if not parts or len(parts) > 1 and (parts[0] in BESIDE or parts[-1] in ("header", "banner") and parts[0] in OWN_HEADER):
+        return False
+    return parts[-1] in AROUND_NAMES or parts[0] in AROUND_NAMES and all(x in HOLDERS or x in AROUND_NAMES for x in parts[1:])
+
+
+def attributes_of(tag: str) -> dict[str, str]:
+    """Attributes by name in lower case; of repeated ones the first."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -58,7 +81,7 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # open elements: name, around, within
     parts: list[str] = []
     linked: list[str] = []
-    links = 0
+    link = -1  # open elements where the open link began, or -1
 
     def flush() -> None:
         if parts:
@@ -75,7 +98,7 @@ def blocks(page: str) -> list[Block]:
         stop = tag.start() if tag else end
         if stop > at:
             parts.append(page[at:stop])
-            if links:
+            if link >= 0:
                 linked.append(page[at:stop])
         if tag is None:
             break
@@ -85,37 +108,37 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag[1]:  # end tag
             if name == "a":
-                links = max(0, links - 1)
+                link = -1
             if name not in INLINE:
                 flush()
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] == name:
                         del stack[i:]
                         break
+                if len(stack) < link:  # the element that the link is in has ended
+                    link = -1
             continue
-        attributes = tag[3]
-        hidden = bool(_HIDDEN.search(attributes)) if attributes else False
+        attributes = attributes_of(tag[3]) if tag[3] else {}
+        hidden = bool(attributes) and is_hidden(attributes)
         if name in SKIPPED or hidden and name not in VOID:
             if name not in INLINE:
                 flush()
-            if not attributes.endswith("/"):
+            if not (name == "svg" and re.search(r"(?:^|[\s\"'])/$", tag[3])):
                 at = _after(page, at, name)
             continue
         if name == "a":
-            links += 1
+            link = len(stack) if "href" in attributes else -1
         if name == "br" or name == "hr":
             parts.append(" ")
         if name in INLINE and name != "label":
             continue
         flush()
-        links = 0
         if name in VOID or name == "label":
             continue
-        names = [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split() if not x.lower().startswith(BESIDE)] if attributes else []
-        words = {w.lower() for x in names for w in (x, *_PARTS.split(x))}
         outer = stack[-1] if stack else ("", False, False)
-        own = name in AROUND and not (name == "header" and outer[2]) or bool(words & AROUND_NAMES) and name not in ("html", "body", "article", "main")
-        stack.append((name, outer[1] or own, outer[2] or name in WITHIN or any(x.lower() in WITHIN_NAMES for x in names)))
+        names = [x for k in ("class", "id", "role") for x in attributes.get(k, "").split()] if attributes else []
+        own = name in AROUND and not (name == "header" and outer[2]) or name not in ("html", "body", "article", "main") and any(map(surrounds, names))
+        stack.append((name, outer[1] or own, outer[2] or name in WITHIN or any(x.lower() in WITHIN_NAMES for x in [*names, attributes.get("itemprop", "")])))
         if name in ("p", "li") and len(stack) > 1 and stack[-2][0] == name:  # the end tag was left out
             del stack[-2]
     flush()
@@ -182,36 +205,59 @@ _PROSE = "the tide came in before noon and the boats lay quiet along the wall wh
 _LINK = '<a href="/x">{}</a>'
 
 
+def _plain(tag: str, *texts: str, linked: bool = False) -> str:
+    return "".join(f"<{tag}>{_LINK.format(t) if linked else t}</{tag}>" for t in texts)
+
+
 def training_table() -> tuple[np.ndarray, np.ndarray]:
-    """Small pages whose blocks carry a label in a leading + (content) or - (not): features and labels."""
-    nav = "<nav><ul>" + "".join(f"<li>{_LINK.format('-' + w)}</li>" for w in ("Home", "News of the day", "Sport", "About us and contact")) + "</ul></nav>"
-    menu = "<div class='top-menu'>" + " ".join(f"<p>{_LINK.format('-' + w)}</p>" for w in ("start", "shop", "help")) + "</div>"
-    ad = "<div class='ad'>-Buy our fine new boats today.</div>"
-    ad2 = f"<div class='sponsored'><p>-{_PROSE}</p></div>"
-    side = f"<aside><h3>-More to read</h3><p>-{_PROSE * 3}</p><p>-{_PROSE * 2}</p></aside>"
-    note = f"<div id='cookie-notice'>-We use cookies. {_PROSE * 2}</div>"
-    form = "<form><label>-Your name</label><p>-Sign up for our letter and never miss a tide.</p></form>"
-    talk = f"<section class='comments'><h3>-Two replies</h3><div>-{_PROSE * 2}</div><div>-Well said.</div><div>-{_PROSE * 4}</div></section>"
-    foot = f"<footer>-&copy; The Harbour. {_PROSE * 2}</footer>"
-    head = "<header><div>-The Harbour Times</div><div>-Late edition</div></header>"
-    bare = "".join(f"<div>{_LINK.format('-' + w)}</div>" for w in ("older posts", "newer posts", "site map", "a to z", "print"))
-    long, mid, short = f"<p>+{_PROSE * 3}</p>", f"<p>+{_PROSE}</p>", "<p>+It rained.</p>"
-    linked = f"<p>+{_PROSE} {_LINK.format('see the old charts of the bay')}</p>"
-    whole_link = f"<p>{_LINK.format('+the harbour chart of the old bay')}</p>"
+    """Small pages whose blocks carry a label in a leading + (content) or - (not): features and labels.
+
+    Most pages have no element and no name that says what a block is, so their words, links and neighbours decide; the others
+    teach what the two marks are worth."""
+    long, mid, short = f"+{_PROSE * 3}", f"+{_PROSE}", "+It rained all night."
+    story = _plain("p", long, mid, short, mid, long, short, short, mid)
+    titled = _plain("h1", "+Rain again today") + story
+    lists = _plain("p", mid) + "<ul>" + _plain("li", "+bread", "+rope", "+a lamp and oil") + "</ul>" + _plain("p", mid)
+    cited = _plain("p", mid) + f"<p>+{_PROSE}{_LINK.format('see the old charts of the bay')}</p>" + _plain("p", long)
+    source = _plain("p", mid) + _plain("p", "+the harbour chart of the old bay", linked=True) + _plain("p", mid)
+    bar = _plain("div", "-Home", "-News of the day", "-Sport", "-About us and contact", linked=True)
+    items = "<ul>" + _plain("li", "-start", "-shop", "-help and advice", linked=True) + "</ul>"
+    crossed = "<div>" + " | ".join(_LINK.format(w) for w in ("-one", "two", "three", "four")) + "</div>"
+    blocks_of_links = "".join(f'<a href="/y"><div>-{w}</div></a>' for w in ("older posts", "newer posts", "the whole site from a to z"))
+    cards = "".join(_plain("h3", f"-{w}", linked=True) + _plain("p", "-3 min") for w in ("A boat is sold", "More rain to come", "Bread at noon"))
+    tail = _plain("p", "-Terms", "-Imprint", linked=True) + _plain("p", "-All rights reserved.")
+    nav, foot = f"<nav>{items}</nav>", f"<footer>{_plain('p', f'-&copy; The Harbour. {_PROSE * 2}')}</footer>"
+    side = "<aside>" + _plain("h3", "-More to read") + _plain("p", f"-{_PROSE * 3}", f"-{_PROSE * 2}") + "</aside>"
+    named = f"<div class='widget'>{_plain('p', f'-{_PROSE * 4}', '-Well said.')}</div>"
     rows = [
-        head + nav + f"<article><h1>+The tide</h1>{long}{short}{mid}{linked}</article>" + foot,
-        nav + ad + f"<article><h1>+Rain again today over the bay</h1>{short}{short}{long}</article>" + foot,
-        menu + note + f"<main><h2>+Boats</h2>{mid}<ul><li>+one</li><li>+two</li></ul>{whole_link}{mid}</main>" + side + talk + foot,
-        head + nav + f"<article>{mid}{ad2}{mid}{form}{short}{talk}</article>" + side + foot,
-        bare + f"<div><p>+{_PROSE * 2}</p><p>+{_PROSE * 2}</p><p>+{_PROSE}</p><p>+{_PROSE * 3}</p></div>" + bare,
-        menu + f"<div><p>+{_PROSE * 2}</p><p>+{_PROSE}</p></div>" + bare + foot,
-        nav + f"<article><h1>+A</h1>{whole_link}{long}{mid}{ad}{mid}</article>" + note + foot,
-        bare + f"<div>{long}{linked}{mid}</div>" + side + bare + talk,
-        bare + f"<div><h1>+Boats</h1>{mid}{short}{mid}<h2>+More boats in the bay</h2>{long}<h2>+At night</h2>{short}{long}<ul><li>+bread</li><li>+rope</li><li>+oil</li><li>+a lamp</li></ul>{mid}</div>" + bare,
-        bare + f"<div><h1>+Rain again today over the bay</h1>{long}{short}{short}{short}{mid}<ol><li>+one lamp</li><li>+two lamps</li><li>+three lamps</li></ol>{short}</div>" + bare,
-        "<article><p>+cut off</p></article>",
-        f"<main>{short}{short}<p>{_LINK.format('+the bay')}</p><p>{_LINK.format('+the old wall')}</p></main>" + bare,
-        f"<article>{whole_link}{whole_link}</article>" + foot,
+        bar + titled + tail,
+        bar + crossed + story + cards + tail,
+        items + _plain("div", long, short, mid, long) + items,
+        crossed + titled + lists + blocks_of_links,
+        blocks_of_links + _plain("h1", "+A") + cited + bar,
+        cards + titled + cited + cards + tail,
+        bar + lists + story + crossed,
+        bar + items + source + story + blocks_of_links + tail,
+        items + _plain("p", mid, mid) + tail,
+        crossed + _plain("h2", "+At night in the bay") + _plain("p", short, long) + _plain("h2", "+Later") + _plain("p", short, short, mid) + bar,
+        nav + f"<article>{titled}{source}</article>" + foot,
+        nav + f"<article>{_plain('p', short)}{named}{lists}{foot}</article>" + side,
+        bar + f"<main>{_plain('p', short, short)}{_plain('p', '+the bay', '+the old wall', linked=True)}</main>" + named + cards,
+        nav + named + f"<article>{_plain('p', '+the harbour', '+a chart', linked=True)}</article>" + foot,
+        "<article><p>+cut off</p></article>" + bar,
+        nav + titled + side + foot,
+        nav + f"<article>{_plain('h1', '+A')}{_plain('p', '+Rain.')}</article>" + foot,
+        nav + f"<article>{_plain('p', '+Rain.', '+Wind and rain.')}</article>" + nav,
+        nav + f"<article>{_plain('h1', '+The old wall')}{_plain('p', '+It rained.')}</article>" + foot,
+        bar + f"<article>{_plain('h1', '+Two boats')}{_plain('h2', '+At the wall')}{_plain('p', mid)}</article>" + foot,
+        cards + f"<article>{_plain('h1', '+A new day')}{_plain('p', '+So it was.')}{_plain('p', '+see the chart', linked=True)}</article>" + cards,
+        nav + f"<main>{_plain('h1', '+Boats')}{_plain('p', '+None.')}</main>" + bar,
+        _plain("li", "-a", linked=True) + _plain("p", "+Rain.") + _plain("p", "-tide", linked=True),
+        _plain("li", "-b", "-c", linked=True) + _plain("p", "+Wind.") + _plain("p", "-sea", linked=True),
+        _plain("p", "+Rain."),
+        _plain("p", short, mid),
+        bar + _plain("p", long, "+It rained at " + _LINK.format("the wall") + " all night.", mid, "+The " + _LINK.format("old chart of the bay") + " shows where the wall once stood.", short, long) + tail,
+        items + _plain("h1", "+Boats") + _plain("p", "+They left " + _LINK.format("the harbour") + " before noon.", long, "+See " + _LINK.format("the chart") + " of the bay for more.", mid) + cards,
     ]
     x, y = [], []
     for page in rows:

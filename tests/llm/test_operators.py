@@ -178,6 +178,15 @@ def test_html_extraction():
     assert html_extract.extract("<article><p>cut off &am", tree) == "cut off &am"
     x, y = html_extract.training_table()
     assert (tree.predict(x) == y).mean() > 0.97
+    used = set()
+
+    def walk(t):
+        if t.feature >= 0:
+            used.add(html_extract.FEATURES[t.feature])
+            walk(t.left), walk(t.right)
+
+    walk(tree)
+    assert used >= {"words", "link_density"} and used & {"words_before", "words_after"} and used & {"link_density_before", "link_density_after"}, used
 
 
 PROSE = "The tide came in before noon and the boats lay quiet along the wall while the crew ate bread. "
@@ -192,6 +201,13 @@ PROSE = "The tide came in before noon and the boats lay quiet along the wall whi
         f"<div role='navigation'><a>DROP</a></div><div role='main'><h1>KEEP</h1><p>{PROSE}</p><p><a href=x>KEEP</a></p></div><div role=alert>DROP</div><div class=adBanner>DROP</div>",
         f"<main><table><tr><td>KEEP</td></tr></table><pre>KEEP</pre></main><section class=related-posts><article><p>DROP {PROSE}</p></article></section>",
         "<article><p>KEEP<p>KEEP<!-- DROP",
+        "<nav><a href=x>DROP</a></nav><article><p title='a hidden bay'>KEEP</p><p class=tags>KEEP</p><p hidden>DROP</p><p style='display: none'>DROP</p></article>",
+        f"<article class=share-price-report><p>KEEP</p><div class=ad-free><p>KEEP</p></div><div class=post-header><h1>KEEP</h1></div><section id=social-impact>KEEP {PROSE}</section><h2 id=related-work>KEEP</h2></article>",
+        f"<body class='with-toc toc-page'><div class=share-price-report><h1>KEEP</h1><p>KEEP {PROSE}</p><p>KEEP {PROSE}</p></div></body>",
+        f"<a href=a><div>DROP</div></a><a href=b><div>DROP again</div></a><div>KEEP {PROSE}</div><div>KEEP {PROSE}</div><a href=c><div>DROP</div></a>",
+        f"<main><script src=x/>DROP</script><p>KEEP</p><style/>DROP</style><svg viewBox='0 0' /><p>KEEP <math><mi>KEEP</mi></math></p></main>",
+        f"<div><a href=1>DROP</a> <a href=2>DROP</a></div><h1>KEEP</h1><div>KEEP {PROSE}</div><div>KEEP it rained.</div><div>KEEP {PROSE * 2}</div><div><a href=3>DROP</a></div><div><a href=4>DROP</a></div>",
+        f"<h3><a href=1>DROP and other news</a></h3><p>DROP 3 min</p><h3><a href=2>DROP of the day</a></h3><p>KEEP {PROSE * 2}</p><p>KEEP {PROSE}</p><ul><li><a href=3>DROP</a><li><a href=4>DROP</a></ul>",
         "<ul><li><a href=a>DROP</a></li></ul><p>KEEP</p><div class='tags'><a href=x>DROP</a></div>",
     ],
 )
@@ -688,9 +704,31 @@ def test_decontamination_odd_rows(spark, odd, none):
 # 10
 
 
+def brute_log_prob(p, classes, text):
+    """Log-probabilities of the tokens of a text, one by one."""
+    t, _ = pseudo_likelihood.tokens([text.encode()])
+    k, out = pseudo_likelihood.WINDOW, []
+    number = lambda i: min(int(t[i]) >> (pseudo_likelihood.TOKEN_BITS - pseudo_likelihood.INPUT_BITS), pseudo_likelihood.EDGE - 1) if 0 <= i < len(t) else pseudo_likelihood.EDGE
+    for i in range(len(t)):
+        left = sum(p["left"][number(i - k + j)].astype(float) * p["place"][j] for j in range(k))
+        right = sum(p["right"][number(i + 1 + j)].astype(float) * p["place"][k + j] for j in range(k))
+        h = np.tanh(np.concatenate([left, right]) @ p["hidden"] + p["bias"][0])
+        z = h @ p["out"] + p["out_bias"][0]
+        c = classes.of[t[i]]
+        own = z[c] - np.log(np.exp(z).sum())
+        m = np.flatnonzero(classes.of == c)
+        z = p["member"][m] @ h + classes.log_share[m]
+        out.append(own + z[m == t[i]][0] - np.log(np.exp(z).sum()))
+    return out
+
+
 def test_lm_score(spark, docs):
     frame = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r["doc_id"]: r for r in pseudo_likelihood.lm_score(frame, share=2).collect()}
+    got = {r["doc_id"]: r for r in pseudo_likelihood.lm_score(frame).collect()}
+    p, classes = pseudo_likelihood.fit(frame.selectExpr("doc_id AS id", "text"))
+    for i in sorted(docs, key=lambda i: len(docs[i]))[::9][:15]:
+        each = brute_log_prob(p, classes, docs[i])
+        assert got[i]["n_tokens"] == len(each) and abs(got[i]["log_prob"] - sum(each)) < 1e-4 * max(1, len(each))
     counts, total, score = Counter(), 0, 0.0
     for i, t in docs.items():
         t_, w = pseudo_likelihood.tokens([t.encode()])
@@ -700,34 +738,42 @@ def test_lm_score(spark, docs):
     alone = sum(n * np.log(n / total) for n in counts.values()) / total
     assert score / total > alone  # both sides tell more than a token's own frequency
     assert all(r["log_prob"] < 0 for r in got.values() if r["n_tokens"])
+    again = {r["doc_id"]: r["log_prob"] for r in pseudo_likelihood.lm_score(frame.repartition(7)).collect()}
+    assert all(abs(again[i] - r["log_prob"]) <= 1e-4 * max(1, r["n_tokens"]) for i, r in got.items())
 
 
 def test_lm_gradient():
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 50, 1 << pseudo_likelihood.TOKEN_BITS)
+    counts = rng.integers(0, 50, pseudo_likelihood.TOKENS)
     classes = pseudo_likelihood.make_classes(counts)
     assert len(np.unique(classes.of)) == pseudo_likelihood.CLASSES
     assert np.allclose(np.bincount(classes.of, np.exp(classes.log_share), pseudo_likelihood.CLASSES), 1)
-    p = pseudo_likelihood.initial(counts, classes)
-    text = ("the cat sat on the mat and the dog sat on the log " * 200).encode()
+    p = pseudo_likelihood.initial(counts, rng.integers(0, 5, (2, pseudo_likelihood.INPUTS, pseudo_likelihood.CLASSES)), classes)
+    p = {k: v.astype(float) for k, v in p.items()}
+    text = ("the cat sat on the mat and the dog sat on the log " * 4).encode()
     t, w = pseudo_likelihood.tokens([text, b"", b"a"])
-    before = pseudo_likelihood.log_probs(p, classes, t, w).mean()
-    x, y = pseudo_likelihood.windows(t, w), classes.of[t]
+    x = pseudo_likelihood.windows(t, w)
     assert (x[-1] == pseudo_likelihood.EDGE).all() and (x[0, :3] == pseudo_likelihood.EDGE).all()
-    for r in range(3):
-        p = pseudo_likelihood.train(p, x, y, r)
-    assert pseudo_likelihood.log_probs(p, classes, t, w).mean() > before + 0.5
-    assert np.allclose(pseudo_likelihood.flat(pseudo_likelihood.unflat(pseudo_likelihood.flat(p), p)), pseudo_likelihood.flat(p))
+    p["member"][t] = rng.standard_normal((len(t), pseudo_likelihood.HIDDEN)) * 0.1
+    g = pseudo_likelihood.Gradient(p)
+    g.add(p, classes, x, t)
+    score = lambda q: pseudo_likelihood.log_probs(q, classes, t, w).sum()
+    for k in p:
+        at = np.unravel_index(np.abs(g.sums[k]).argmax(), p[k].shape)
+        up, down = ({**p, k: p[k].copy()} for _ in range(2))
+        up[k][at] += 1e-4
+        down[k][at] -= 1e-4
+        assert abs((score(up) - score(down)) / 2e-4 - g.sums[k][at]) < 1e-2 * max(1, abs(g.sums[k][at])), k
+    assert (pseudo_likelihood.Gradient(p).load(g.flat()).flat() == g.flat()).all()
 
 
 def test_lm_trains_on_every_document(spark):
-    texts = [(i, f"word{i} and other{i} again " * 40) for i in range(5)]
-    for n in (1, 5):
-        p, classes = pseudo_likelihood.fit(spark.createDataFrame(texts[:n], "id long, text string"), rounds=1)
-        counts = np.bincount(np.concatenate([pseudo_likelihood.tokens([x.encode()])[0] for _, x in texts[:n]]), minlength=1 << pseudo_likelihood.TOKEN_BITS)
-        moved = (p["embed"] != pseudo_likelihood.initial(counts, classes)["embed"]).any(axis=1)
-        used = {int(k) for _, x in texts[:n] for k in pseudo_likelihood.inputs(pseudo_likelihood.tokens([x.encode()])[0])}
-        assert {*np.flatnonzero(moved).tolist()} >= used
+    """Every document's own words move weights, however short it is."""
+    texts = [(i, f"word{i}" + f" and other{i}" * i) for i in range(40)]
+    p, classes = pseudo_likelihood.fit(spark.createDataFrame(texts, "id long, text string"))
+    for _, x in texts:
+        t = pseudo_likelihood.tokens([x.encode()])[0]
+        assert p["member"][t].any() or (np.isin(classes.of[t], np.arange(pseudo_likelihood.OWN))).any()
 
 
 def test_lm_odd_rows(odd, none):
