@@ -109,6 +109,7 @@ def blocks(page: str) -> list[Block]:
         if tag[1]:  # end tag
             if name == "a":
                 link = -1
+                linked.append(" ")
             if name not in INLINE:
                 flush()
                 for i in range(len(stack) - 1, -1, -1):
@@ -254,6 +255,9 @@ def training_table() -> tuple[np.ndarray, np.ndarray]:
         nav + f"<main>{_plain('h1', '+Boats')}{_plain('p', '+None.')}</main>" + bar,
         _plain("li", "-a", linked=True) + _plain("p", "+Rain.") + _plain("p", "-tide", linked=True),
         _plain("li", "-b", "-c", linked=True) + _plain("p", "+Wind.") + _plain("p", "-sea", linked=True),
+        crossed + _plain("h1", "+Boats") + _plain("div", mid, short, long) + bar,
+        bar + crossed + _plain("h1", "+Bread and wine") + _plain("div", long, short, mid) + crossed,
+        items + _plain("h1", "+Rope") + _plain("div", mid, short, long, mid) + bar,
         _plain("p", "+Rain."),
         _plain("p", short, mid),
         bar + _plain("p", long, "+It rained at " + _LINK.format("the wall") + " all night.", mid, "+The " + _LINK.format("old chart of the bay") + " shows where the wall once stood.", short, long) + tail,
