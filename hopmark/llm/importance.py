@@ -2,7 +2,9 @@
 
 Two generative models over hashed word n-grams: one of target text (labelled good), one of the raw corpus. The
 importance weight of a text is the ratio of its probabilities under the two; Gumbel noise on the log weights makes the top k
-a sample without replacement in proportion to the weights.
+a sample without replacement in proportion to the weights. k is a parameter; if it is not given, it is the number of texts that are more
+likely target than not by the labelled sample: those whose ratio per n-gram is at least the threshold. To let k decide between texts of all lengths, the
+weights that are sampled are those of NGRAMS n-grams: the log ratio of a text is scaled to that length.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ PRIOR = 20_000.0
 #: Log ratios are kept as whole multiples of 1 / UNIT, so their sums do not depend on an order.
 UNIT = 1 << 20
 SEED = 20240
-#: Log weights count so much against the noise: texts are drawn in proportion to this power of their weights.
-SHARPNESS = 32
+#: The length, in n-grams, that log weights are scaled to.
+NGRAMS = 1000
 #: A good text lost counts as so many bad texts kept.
 GOOD_OVER_BAD = 4.0
 
@@ -172,10 +174,10 @@ class Choice(NamedTuple):
     tie: int
 
 
-def key_sql(cut: float, seed: int = SEED) -> str:
-    """Log weight against that of a text at the threshold, plus Gumbel noise from a hash of id and text; in 1 / UNIT."""
+def key_sql(seed: int = SEED) -> str:
+    """Log weight of NGRAMS n-grams of the text, plus Gumbel noise from a hash of id and text; in 1 / UNIT."""
     uniform = f"((pmod(xxhash64(tie, {seed}L), 4503599627370496L) + 0.5D) / 4503599627370496D)"
-    return f"cast(round(({SHARPNESS}D * (weight / {UNIT}D - ({cut!r}D) * n) - ln(-ln({uniform}))) * {UNIT}D) as long)"
+    return f"cast(round(({NGRAMS}D * (weight / {UNIT}D) / n - ln(-ln({uniform}))) * {UNIT}D) as long)"
 
 
 def choose(scored: DataFrame, k: int | None = None) -> tuple[DataFrame, Choice]:
@@ -183,7 +185,7 @@ def choose(scored: DataFrame, k: int | None = None) -> tuple[DataFrame, Choice]:
     are never chosen; rows that agree in id and text stay or go together."""
     cut = threshold(scored)
     cut = max(min(cut, 1e6), -1e6)
-    keyed = scored.withColumn("key", F.when(F.col("n") > 0, F.expr(key_sql(cut))))
+    keyed = scored.withColumn("key", F.when(F.col("n") > 0, F.expr(key_sql())))
     real = keyed.where("key IS NOT NULL")
     if k is None:
         k = real.where(F.col("weight") / F.lit(float(UNIT)) >= F.lit(cut) * F.col("n")).count()
@@ -230,7 +232,7 @@ def keep_selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     inner = [f"c{i}" for i in range(len(names))]
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip([*inner, "weight", "n"], [*docs.schema.fields, *scored_fields()], strict=True))
     again = docs.mapInArrow(tidy(run), schema).withColumn("tie", F.xxhash64(F.col(inner[names.index(id_col)]).cast("long"), F.col(inner[place]).cast("string")))
-    key = F.expr(key_sql(choice.cut))
+    key = F.expr(key_sql())
     chosen = (F.col("n") > 0) & ((key > choice.key) | (key == choice.key) & (F.col("tie") >= choice.tie))
     return again.where(chosen).select(*(F.col(c).alias(n) for c, n in zip(inner, names, strict=True)))
 

@@ -134,6 +134,17 @@ def test_importance_against_brute_force(spark, docs):
     for i, t in docs.items():
         want = sum(np.log(p[b] / q[b]) for b in grams(t))
         assert abs(rows[i]["log_weight"] - want) < 1e-2 and rows[i]["n_ngrams"] == len(grams(t))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    number = lambda v, seed: xxhash.xxh64_intdigest(int(v).to_bytes(8, "little", signed=True), seed)
+    keys = {}
+    for i, t in docs.items():
+        if n := rows[i]["n_ngrams"]:
+            tie = signed(xxhash.xxh64_intdigest(t.encode(), number(i, 42)))
+            uniform = (signed(number(importance.SEED, number(tie, 42))) % 2**52 + 0.5) / 2**52
+            keys[i] = importance.NGRAMS * sum(np.log(p[b] / q[b]) for b in grams(t)) / n - np.log(-np.log(uniform))
+            assert abs(rows[i]["gumbel_key"] - keys[i]) < 0.01
+    chosen = [r["doc_id"] for r in importance.importance_resample(frame, lab, k=40).where("selected").collect()]
+    assert {*chosen} == {*sorted(keys, key=keys.get)[-40:]}
     good = [rows[d]["selected"] for d, x in labels.items() if x]
     bad = [rows[d]["selected"] for d, x in labels.items() if not x]
     assert np.mean(good) > 0.95 and np.mean(bad) < 0.3
