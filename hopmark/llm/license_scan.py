@@ -1,10 +1,12 @@
 """License scans by a positional rare-token index (operator 1).
 
-Templates of licence notices are posted by word and position. The weights of their words come from the whole corpus: the
-inverse document frequency. All places of each template's rarest words are looked up; each posting proposes to lay its template
-with its first word at (place - position), and the proposals are compared word by word. At least one more word is looked up than
-may disagree, so no place of a template is missed. A label also needs its template's key phrases, word by word, within the
-text that the template covers.
+Templates of licence notices and texts are posted by word and position. The weights of their words come from the whole corpus: the
+inverse document frequency. All places of each template's rarest words are looked up: HITS more than may be missing. Each posting says where its template
+would begin, (place - position). Postings whose beginnings lie within a slack of each other, so that words may be inserted or left out, are
+intersected: HITS different words of a template must agree. Then the longest common subsequence of the template and the text there must hold `cover` of
+the template's words, and the template's key phrases must stand in that text, word by word.
+
+Frequency decides on cost, never on labels: a text that holds `cover` of a template in order has HITS of the words that are looked up.
 
 Short phrases are templates too, without alternatives: each place of a phrase's rarest word is looked up, and all words
 are compared, so all places of a phrase are found.
@@ -37,7 +39,10 @@ class Template(NamedTuple):
     keys: tuple[str, ...]  # phrases that must stand in the covered text
 
 
-#: Short licence notices in common use, as words only; spelling and punctuation do not count.
+#: Different words of a template that must agree on where it begins, and words that may be inserted or left out: SLACK, or a fifth of a longer template.
+HITS, SLACK = 3, 8
+
+#: Licence notices in common use and whole licence texts, as words only; spelling and punctuation do not count.
 TEMPLATES = (
     Template("mit", "released under the MIT License", ("mit license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
@@ -54,6 +59,31 @@ TEMPLATES = (
     Template("cc0", "CC0 1.0 Universal Public Domain Dedication", ("cc0 1 0 universal",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the Mozilla Public License v 2.0", ("mozilla public license",)),
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+        ("permission is hereby granted", "provided as is without warranty"),
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+        ("with or without fee is hereby granted",),
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        ("redistributions in binary form must reproduce",),
+    ),
+    Template(
+        "apache-2.0",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+        ("apache license version 2 0",),
+    ),
+    Template(
+        "gpl-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        ("gnu general public license", "version 3 of the license"),
+    ),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 )
 
@@ -70,7 +100,13 @@ class Index:
         self.phrases = [(words_of(p.encode()), label) for p, label in phrases.items()]
         self.vocabulary = {w for _, words, _ in self.templates for w in words} | {w for words, _ in self.phrases for w in words}
         self.idf = idf or {}
-        self.looked_up: dict[tuple, dict[bytes, list[tuple[int, int]]]] = {}
+        self.looked_up: dict[float, dict[bytes, list[tuple[int, int]]]] = {}
+        self.masks: list[dict[bytes, int]] = []
+        for _, words, _ in self.templates:
+            mask: dict[bytes, int] = defaultdict(int)
+            for i, w in enumerate(words):
+                mask[w] |= 1 << i
+            self.masks.append(dict(mask))
         self.anchors: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for p, (words, _) in enumerate(self.phrases):
             i = max(range(len(words)), key=lambda i: (self.weight(words[i]), -i))
@@ -79,30 +115,35 @@ class Index:
     def weight(self, word: bytes) -> float:
         return self.idf.get(word, 1e9)
 
-    def postings(self, rarest: int, least_idf: float, cover: float) -> dict[bytes, list[tuple[int, int]]]:
-        """Template and position of the words that are looked up: of each template one more than may disagree, the rarest,
-        and of its `rarest` rarest those of least_idf or more."""
-        if (rarest, least_idf, cover) not in self.looked_up:
-            out = self.looked_up[rarest, least_idf, cover] = defaultdict(list)
+    def postings(self, cover: float) -> dict[bytes, list[tuple[int, int]]]:
+        """Template and position of the words that are looked up: of each template the rarest, HITS more than may be missing."""
+        if cover not in self.looked_up:
+            out = self.looked_up[cover] = defaultdict(list)
             for t, (_, words, _) in enumerate(self.templates):
-                least = len(words) - math.ceil(cover * len(words) - 1e-9) + 1
-                for k, i in enumerate(sorted(range(len(words)), key=lambda i: (-self.weight(words[i]), i))):
-                    if k < least or (k < rarest and self.weight(words[i]) >= least_idf):
-                        out[words[i]].append((t, i))
-        return self.looked_up[rarest, least_idf, cover]
-
-    def scan(self, words: list[bytes], rarest: int, least_idf: float, cover: float) -> tuple[list[int], set[str], set[str], float]:
+                missing = len(words) - needed(words, cover)
+                for i in sorted(range(len(words)), key=lambda i: (-self.weight(words[i]), i))[: missing + HITS]:
+                    out[words[i]].append((t, i))
+        return self.looked_up[cover]
+
+    def common(self, t: int, text: list[bytes]) -> int:
+        """Words of the longest common subsequence of a template and a text; a bit of `row` is 0 where it grows."""
+        masks, size = self.masks[t], len(self.templates[t][1])
+        row = full = (1 << size) - 1
+        for w in text:
+            if m := masks.get(w):
+                both = row & m
+                row = ((row + both) | (row - both)) & full
+        return size - row.bit_count()
+
+    def scan(self, words: list[bytes], cover: float) -> tuple[list[int], set[str], set[str], float]:
         """Places of the phrases, their labels, the templates' labels, and the share of words of the best template."""
-        present = self.vocabulary.intersection(words)
-        if not present:
-            return [], set(), set(), 0.0
-        postings = self.postings(rarest, least_idf, cover)
-        wanted = present & (postings.keys() | self.anchors.keys())
+        postings = self.postings(cover)
+        wanted = (postings.keys() | self.anchors.keys()).intersection(words)
         if not wanted:
             return [], set(), set(), 0.0
         starts: set[int] = set()
         base: set[str] = set()
-        proposed: set[tuple[int, int]] = set()
+        proposed: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for place, w in enumerate(words):
             if w in wanted:
                 for p, i in self.anchors.get(w, ()):
@@ -110,20 +151,48 @@ class Index:
                     if place >= i and words[place - i : place - i + len(phrase)] == phrase:
                         starts.add(place - i)
                         base.add(label)
-                proposed.update((t, place - i) for t, i in postings.get(w, ()))
+                for t, i in postings.get(w, ()):
+                    proposed[t].append((place - i, i))
         labels: set[str] = set()
         score = 1.0 if starts else 0.0
-        for t, at in proposed:
+        for t, found in proposed.items():
             label, template, keys = self.templates[t]
-            first = max(at, 0)
-            text = words[first : at + len(template)]
-            share = sum(a == b for a, b in zip(text, template[first - at :], strict=False)) / len(template)
-            if share >= cover and all(any(text[i : i + len(k)] == k for i in range(len(text) - len(k) + 1)) for k in keys):
-                labels.add(label)
-                score = max(score, share)
+            least, slack = min(HITS, needed(template, cover)), slack_of(template)
+            if len({i for _, i in found}) < least:
+                continue
+            for lo, hi in clusters(sorted(found), slack, least):
+                text = words[max(0, lo - slack) : hi + len(template) + slack]
+                share = self.common(t, text) / len(template)
+                if share >= cover - 1e-9 and all(any(text[i : i + len(k)] == k for i in range(len(text) - len(k) + 1)) for k in keys):
+                    labels.add(label)
+                    score = max(score, share)
         return sorted(starts), base, labels, score
 
 
+def needed(template: list[bytes], cover: float) -> int:
+    return math.ceil(cover * len(template) - 1e-9)
+
+
+def slack_of(template: list[bytes]) -> int:
+    return max(SLACK, len(template) // 5)
+
+
+def clusters(found: list[tuple[int, int]], slack: int, least: int) -> Iterator[tuple[int, int]]:
+    """Of (beginning, position) in ascending order: first and last beginning of each run of neighbours within `slack` of the run's first,
+    if its postings have `least` different positions. Runs begin at each posting that a run before does not reach."""
+    last = -1
+    for i, (lo, _) in enumerate(found):
+        if i <= last:
+            continue
+        j, seen = i, set()
+        while j < len(found) and found[j][0] - lo <= 2 * slack:
+            seen.add(found[j][1])
+            j += 1
+        if len(seen) >= least:
+            yield lo, found[j - 1][0]
+            last = j - 1
+
+
 def document_frequency(texts: DataFrame, vocabulary: set[bytes]) -> tuple[dict[bytes, int], int]:
     """In how many of all texts each licence word stands; a task sends at most one count for each word."""
 
@@ -145,13 +214,11 @@ def document_frequency(texts: DataFrame, vocabulary: set[bytes]) -> tuple[dict[b
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, places array<long>"
 
 
-def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = 8, common: float = 0.2, cover: float = 0.8, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
+def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: float = 0.8, templates: tuple[Template, ...] = TEMPLATES, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """doc_id, n_words, n_base and places (starts of all phrases, in words from 0), first_word, last_word, base_labels,
-    labels (with those of templates), score (share of the best accepted template's words that agree; 1 for a phrase).
+    labels (with those of templates), score (share of the best accepted template's words that the text has in order; 1 for a phrase).
 
-    `rarest`: words of each template that are looked up; those in more than `common` of all texts only as far as `cover` needs
-    them, so frequency decides on cost, never on labels.
-    `cover`: least share of a template's words. Null and empty texts have no words, no labels and score 0; first_word and
+    `cover`: least share of a template's words, in their order; others may stand between them. Null and empty texts have no words, no labels and score 0; first_word and
     last_word are null without a place. Labels are distinct, sorted and comma-joined, or empty. One row for each row of
     the input, in two passes without a shuffle of texts; the counts that come to the driver are one for each licence word.
     """
@@ -160,7 +227,6 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts, n = document_frequency(texts, Index(templates, phrases).vocabulary)
     idf = {w: float(np.log((n + 1) / (c + 1))) for w, c in counts.items()}
     index = Index(templates, phrases, idf)
-    least_idf = float(np.log(1 / common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +234,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = []
                 for t in part:
                     words = words_of(t)
-                    at, base, more, score = index.scan(words, rarest, least_idf, cover)
+                    at, base, more, score = index.scan(words, cover)
                     rows.append((len(words), len(at), at[0] if at else None, at[-1] if at else None, ",".join(sorted(base)), ",".join(sorted(base | more)), score, at))
                 n_words, n_base, first, last, base_labels, labels, score, places = zip(*rows, strict=True)
                 longs = pa.int64()
