@@ -77,25 +77,32 @@ class Box(NamedTuple):
     end: int
 
 
-def walk(data: bytes | memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[Box]:
-    """All boxes in the order of the file, each before those within it. Ends at a box that does not fit."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+#: Boxes nest so deep at most; what is deeper is not walked.
+DEPTH = 64
+
+
+def walk(data: bytes | memoryview) -> Iterator[Box]:
+    """All boxes in the order of the file, each before those within it. A level ends at a box that does not fit."""
+    open_: list[tuple[int, int, tuple[bytes, ...]]] = [(0, len(data), ())]  # levels: where the next box begins, the end, the path
+    while open_:
+        start, end, path = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
             if start + 16 > end:
-                return
+                continue
             size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
-            return
+            continue
         own = (*path, kind)
         yield Box(own, start + head, start + size)
-        if kind in CONTAINERS:
-            yield from walk(data, start + head + CONTAINERS[kind], start + size, own)
-        start += size
+        open_.append((start + size, end, path))
+        if kind in CONTAINERS and len(own) < DEPTH:
+            open_.append((start + head + CONTAINERS[kind], start + size, own))
 
 
 class Track(NamedTuple):
@@ -128,6 +135,8 @@ def tracks(data: bytes | memoryview) -> list[Track]:
         timescale = struct.unpack_from(">I", data, t[b"mdhd"].start + (20 if version == 1 else 12))[0]
         codec = bytes(data[t[b"stsd"].start + 12 : t[b"stsd"].start + 16]).decode("latin-1")
         same, n = struct.unpack_from(">II", data, t[b"stsz"].start + 4)
+        if same * n > len(data):
+            raise ValueError("more samples than the file can hold")
         sizes = np.full(n, same, np.int64) if same else np.frombuffer(data, ">u4", n, t[b"stsz"].start + 12).astype(np.int64)
         chunk_at = _table(data, t[b"stco"].start, 1).ravel() if b"stco" in t else _table(data, t[b"co64"].start, 1, ">u8").ravel()
         runs = _table(data, t[b"stsc"].start, 3)

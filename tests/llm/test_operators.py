@@ -84,9 +84,50 @@ def test_license_scan_odd_rows(odd, none):
 def test_license_needs_key_phrase():
     index = license_scan.Index(license_scan.TEMPLATES, license_scan.PHRASES)
     full = license_scan.words_of(b"x x Permission is hereby granted, free of charge, to any person obtaining a copy of this software and")
-    assert index.scan(full, 8, 0, 0.8)[2] == {"mit"}
+    assert index.scan(full, 0.8)[2] == {"mit"}
     broken = license_scan.words_of(b"x x Permission is hereby not granted, free of charge, to any person obtaining a copy of this software")
-    assert index.scan(broken, 8, 0, 0.8)[2] == set()
+    assert index.scan(broken, 0.8)[2] == set()
+    wider = license_scan.words_of(b"x Permission is hereby granted, free of charge to every and any person now obtaining a copy of this software")
+    assert index.scan(wider, 0.8)[2] == {"mit"}
+
+
+def brute_labels(words, cover=0.8):
+    """Every window of every template, by a table of common subsequences."""
+    out = set()
+    for t in license_scan.TEMPLATES:
+        template, keys = license_scan.words_of(t.text.encode()), [license_scan.words_of(k.encode()) for k in t.keys]
+        size = len(template) + 3 * license_scan.slack_of(template)
+        for s in range(max(1, len(words) - size + 1)):
+            text = words[s : s + size]
+            row = [0] * (len(template) + 1)
+            for w in text:
+                new = [0]
+                for i, v in enumerate(template):
+                    new.append(row[i] + 1 if v == w else max(row[i + 1], new[i]))
+                row = new
+            if row[-1] >= license_scan.needed(template, cover) and all(any(text[i : i + len(k)] == k for i in range(len(text))) for k in keys):
+                out.add(t.label)
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_license_labels_against_brute_force(seed):
+    """Notices with words left out, inserted and changed, in prose of their own words."""
+    rng = np.random.default_rng(seed)
+    index = license_scan.Index(license_scan.TEMPLATES, license_scan.PHRASES, {w: float(rng.random()) for t in license_scan.TEMPLATES for w in license_scan.words_of(t.text.encode())})
+    found = 0
+    for k in rng.choice(len(license_scan.TEMPLATES), 8, replace=False):
+        template = license_scan.words_of(license_scan.TEMPLATES[k].text.encode())
+        change = rng.random(len(template)) < rng.choice([0.0, 0.05, 0.4])
+        text = [b"other%d" % i for i in range(40)]
+        for w, c in zip(template, change, strict=True):
+            text += [[], [w, b"extra"], [b"changed"]][rng.integers(0, 3)] if c else [w]
+        text += list(rng.choice(template, 6)) + [b"end"] * 30
+        got = index.scan(text, 0.8)[2]
+        assert got == brute_labels(text), (license_scan.TEMPLATES[k].label, change)
+        found += bool(got)
+    assert found
 
 
 @pytest.mark.parametrize("n", [99, 300])
@@ -101,9 +142,9 @@ def test_license_scan_finds_all_notices_of_a_file():
     frequent = dict.fromkeys([b"licensed", b"under", b"cc", b"by", b"nc", b"4", b"0"], 1.0)
     index = license_scan.Index(license_scan.TEMPLATES, license_scan.PHRASES, frequent)
     both = b"Permission is hereby granted, free of charge, to any person obtaining a copy of this software. Licensed under CC BY-NC 4.0"
-    assert index.scan(license_scan.words_of(both), 8, 0, 0.8)[2] == {"mit", "cc-by-nc-4.0"}
+    assert index.scan(license_scan.words_of(both), 0.8)[2] == {"mit", "cc-by-nc-4.0"}
     every = license_scan.words_of(" and so on ".join(t.text for t in license_scan.TEMPLATES).encode())
-    assert index.scan(every, 8, 0, 0.8)[2] == {t.label for t in license_scan.TEMPLATES}
+    assert index.scan(every, 0.8)[2] == {t.label for t in license_scan.TEMPLATES}
 
 
 # 2
@@ -325,7 +366,13 @@ def test_media_round_trip(spark, docs):
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        assert r["media_sha256"] == hashlib.sha256(media.mux(payload)).hexdigest() and "codec=twos" in r["feature"]
+        data = media.mux(payload)
+        assert r["media_sha256"] == hashlib.sha256(data).hexdigest() and "codec=twos" in r["feature"]
+        keys = [(x["start"], x["size"]) for x in r["key_ranges"]]
+        assert (r["codec"], r["duration"]) == ("twos", len(payload) // 192)
+        assert [data[a : a + n] for a, n in keys] == [payload[k : k + 192] for k in range(0, len(payload), 192 * media.KEY_EVERY)]
+        ranges = np.array(keys, "<i8")
+        assert r["feature"] == f"codec=twos;timescale=100;duration={len(payload) // 192};samples={len(payload) // 192};keys={len(keys)};first={','.join(f'{a}+{n}' for a, n in keys[:2])};ranges={zlib.crc32(ranges.tobytes()):08x}"
 
 
 @pytest.mark.parametrize("n", [1, 7, 15, 16, 17, 32, 33, 500])
@@ -345,6 +392,13 @@ def test_media_odd_rows(spark, odd, none):
     assert {r["payload_bytes"] for r in rows if r["doc_id"] in (0, 1)} == {192}
     broken = spark.createDataFrame([(1, 1, b"junk"), (2, 2, None), (3, 3, media.mux(b"x" * 192)[:200])], "doc_id long, n_bytes long, media binary")
     assert [r["codec"] for r in media.probe(broken).collect()] == [None] * 3
+    nested = b""
+    for _ in range(5000):
+        nested = media.box(b"moov", nested)
+    huge = media.mux(b"x" * 192).replace((192).to_bytes(4, "big") + (1).to_bytes(4, "big"), (192).to_bytes(4, "big") + (2**32 - 1).to_bytes(4, "big"))
+    assert len([*media.walk(nested)]) == media.DEPTH
+    odd_files = spark.createDataFrame([(1, 1, nested), (2, 2, huge)], "doc_id long, n_bytes long, media binary")
+    assert [(r["codec"], r["media_bytes"]) for r in media.probe(odd_files).orderBy("doc_id").collect()] == [(None, len(nested)), (None, len(huge))]
 
 
 # 6
