@@ -24,15 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hopmark.llm.bpe import RUN, TextEncoder
-from hopmark.llm.common import bounded_batches, id_and_text, tidy, work_dir
+from hopmark.llm.common import bounded_batches, id_and_text, stored, tidy, work_dir
 
 MAGIC, BLOCK, NULL_ID = b"HMBITS01", 4096, -(2**63)
-#: Text bytes that aim for one shard.
-SHARD_BYTES = 8 << 20
+#: Text bytes that aim for one shard; a task holds the packed ids of one.
+SHARD_BYTES = 64 << 20
 
 
 def min_bits(vocabulary: int) -> int:
@@ -57,16 +57,40 @@ def unpack(data: bytes | memoryview, bits: int, count: int) -> np.ndarray:
     return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
 
 
+class ShardWriter:
+    """A shard file in the making: ids are packed as soon as they fill a block."""
+
+    def __init__(self, bits: int, block: int = BLOCK):
+        self.bits, self.block = bits, block
+        self.doc_ids: list[int] = []
+        self.counts: list[int] = []
+        self.blocks: list[bytes] = []
+        self.rest = np.zeros(0, np.uint32)
+
+    def add(self, doc_ids: list[int | None], coded: list[bytes]) -> None:
+        """Documents, given their ids as little-endian unsigned 32-bit integers."""
+        self.doc_ids += [NULL_ID if i is None else i for i in doc_ids]
+        self.counts += [len(c) // 4 for c in coded]
+        ids = np.concatenate([self.rest, np.frombuffer(b"".join(coded), "<u4")])
+        if len(ids) and int(ids.max()) >> self.bits:
+            raise ValueError(f"an id needs more than {self.bits} bits")
+        whole = len(ids) - len(ids) % self.block
+        self.blocks += [pack(ids[i : i + self.block], self.bits) for i in range(0, whole, self.block)]
+        self.rest = ids[whole:].copy()
+
+    def parts(self) -> list[bytes]:
+        """The pieces of the file, in order."""
+        blocks = [*self.blocks, pack(self.rest, self.bits)] if len(self.rest) else self.blocks
+        head = struct.pack("<8sIIqq", MAGIC, self.bits, self.block, len(self.doc_ids), sum(self.counts))
+        tables = [np.array(self.doc_ids, "<i8"), np.concatenate([[0], np.cumsum(self.counts)]).astype("<i8"), np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<i8")]
+        return [head, *(t.tobytes() for t in tables), *blocks]
+
+
 def shard_bytes(doc_ids: list[int | None], coded: list[bytes], bits: int, block: int = BLOCK) -> bytes:
-    """A shard file of documents, given their ids as little-endian unsigned 32-bit integers."""
-    counts = np.fromiter((len(c) // 4 for c in coded), np.int64, len(coded))
-    ids = np.frombuffer(b"".join(coded), "<u4")
-    if len(ids) and int(ids.max()) >> bits:
-        raise ValueError(f"an id needs more than {bits} bits")
-    blocks = [pack(ids[i : i + block], bits) for i in range(0, len(ids), block)]
-    head = struct.pack("<8sIIqq", MAGIC, bits, block, len(coded), len(ids))
-    tables = [np.array([NULL_ID if i is None else i for i in doc_ids], "<i8"), np.concatenate([[0], np.cumsum(counts)]).astype("<i8"), np.concatenate([[0], np.cumsum([len(b) for b in blocks])]).astype("<i8")]
-    return b"".join([head, *(t.tobytes() for t in tables), *blocks])
+    """A shard file of documents."""
+    own = ShardWriter(bits, block)
+    own.add(doc_ids, coded)
+    return b"".join(own.parts())
 
 
 class Shard:
@@ -122,7 +146,7 @@ def library_encoder(path: str) -> LibraryEncoder:
     return _ENCODERS[path]
 
 
-def write_file(uri: str, data: bytes) -> None:
+def write_file(uri: str, parts: list[bytes]) -> None:
     """Write under another name and rename: a task that runs twice leaves one whole file."""
     from pyarrow import fs
 
@@ -130,7 +154,8 @@ def write_file(uri: str, data: bytes) -> None:
     part = f"{path}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}.part"
     store.create_dir(path.rpartition("/")[0], recursive=True)
     with store.open_output_stream(part) as out:
-        out.write(data)
+        for part_ in parts:
+            out.write(part_)
     store.move(part, path)
 
 
@@ -143,8 +168,8 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
 
     Texts are dealt out by ranges of (id, hash of text) and sorted, so a repeated id is spread too and its rows stand in
     the order of their texts; null ids come first, null texts are empty. A task writes shards of about SHARD_BYTES of
-    text, named by partition and number, so their names ascend as their ids do. Returns the manifest: a row for each
-    shard with shard (its name), documents, tokens. An empty table has no shards.
+    text, named by partition and number, so their names ascend as their ids do. Returns the manifest, written once: a row for each
+    shard with shard (its name), part, number (in its part), documents, tokens. An empty table has no shards.
     """
     uri = as_uri(folder)
 
@@ -152,21 +177,18 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
         own, part, number = library_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         bits = min_bits(max(own.vocabulary, end_id + 1))
         end = end_id.to_bytes(4, "little")
-        ids, texts, coded, size = [], [], [], 0
+        shard, ids, texts, size, waiting = ShardWriter(bits), [], [], 0, 0
 
         def encode() -> None:
-            coded.extend(c + end for c in own.encode(texts))
+            shard.add(ids, [c + end for c in own.encode(texts)])
+            ids.clear()
             texts.clear()
 
         def flush() -> pa.RecordBatch:
             name = f"part-{part:08d}-{number:06d}.bits"
-            write_file(f"{uri}/{name}", shard_bytes(ids, coded, bits))
-            out = pa.RecordBatch.from_pydict({"shard": [name], "documents": pa.array([len(ids)], pa.int64()), "tokens": pa.array([sum(map(len, coded)) // 4], pa.int64())})
-            ids.clear()
-            coded.clear()
-            return out
+            write_file(f"{uri}/{name}", shard.parts())
+            return pa.RecordBatch.from_pydict({"shard": [name], "part": pa.array([part], pa.int64()), "number": pa.array([number], pa.int64()), "documents": pa.array([len(shard.doc_ids)], pa.int64()), "tokens": pa.array([sum(shard.counts)], pa.int64())})
 
-        waiting = 0
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
@@ -178,15 +200,15 @@ def write_shards(df: DataFrame, folder: str, tokenizer_path: str, id_col: str =
                 if size >= SHARD_BYTES:
                     encode()
                     yield flush()
-                    number, size, waiting = number + 1, 0, 0
+                    shard, number, size, waiting = ShardWriter(bits), number + 1, 0, 0
         encode()
-        if ids:
+        if shard.doc_ids:
             yield flush()
 
     bounded_batches(df.sparkSession)
     texts = id_and_text(df, id_col, text_col).withColumn("tie", F.xxhash64("text"))
     ordered = by_ranges(texts).sortWithinPartitions("id", "tie", "text").select("id", "text")
-    return ordered.mapInArrow(tidy(run), "shard string, documents long, tokens long")
+    return stored(ordered.mapInArrow(tidy(run), "shard string, part long, number long, documents long, tokens long"), "manifest")
 
 
 #: Partitions up to this number get their bounds from the ids alone.
@@ -196,40 +218,54 @@ BOUNDS = 1024
 def by_ranges(texts: DataFrame) -> DataFrame:
     """Rows (id, text, tie) in partitions of ascending ranges of (id, tie), nulls first, as many as shuffles have.
 
-    Quantiles of the ids are the bounds; an id that is several bounds at once is dealt to the partitions between them by
-    its ties. So only the ids are read for the bounds. With more than BOUNDS partitions, where comparing each row with
-    every bound would cost more, Spark's own range exchange takes over, which samples whole rows."""
+    Quantiles of the ids are the bounds (null counts as the smallest); an id, or null, that is several bounds at once is dealt to the
+    partitions between them by its ties. So only the ids are read for the bounds. With more than BOUNDS partitions, where comparing each
+    row with every bound would cost more, Spark's own range exchange takes over, which samples whole rows; the rows' order is the same."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if n > BOUNDS:
         return texts.repartitionByRange("id", "tie")
-    bounds = texts.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 100_000)).first()[0] if n > 1 else []
+    key = F.coalesce("id", F.expr(f"cast({NULL_ID} as long)"))
+    bounds = texts.agg(F.percentile_approx(key, [i / n for i in range(1, n)], 100_000)).first()[0] if n > 1 else []
     if not bounds:
         return texts.repartition(1)
-    held = F.array(*map(F.lit, bounds))
-    below, upto = F.size(F.filter(held, lambda b: b < F.col("id"))), F.size(F.filter(held, lambda b: b <= F.col("id")))
+    held = F.array(*(F.expr(f"cast({b} as long)") for b in bounds))
+    below, upto = F.size(F.filter(held, lambda b: b < key)), F.size(F.filter(held, lambda b: b <= key))
     share = F.col("tie") / F.lit(2.0**64) + F.lit(0.5)
     place = below + F.floor(share * (upto - below + 1)).cast("int")
-    return texts.repartitionById(n, F.coalesce(F.least(place, upto), F.lit(0)))
+    return texts.repartitionById(n, F.least(place, upto))
+
+
+def shard_starts(manifest: DataFrame) -> tuple[DataFrame, int]:
+    """shard, start (the number of ids before it), and how many shards there are.
 
+    The driver gets one sum for each partition of the write; the shards of a partition are added up in a window of their own."""
+    sums = sorted(tuple(r) for r in manifest.groupBy("part").agg(F.sum("tokens"), F.count("*")).collect())
+    before = np.concatenate([[0], np.cumsum([n for _, n, _ in sums])]).tolist()
+    spark = manifest.sparkSession
+    bases = spark.createDataFrame([(p, int(b)) for (p, _, _), b in zip(sums, before, strict=False)], "part long, base long")
+    earlier = Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    inner = manifest.withColumn("inner", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
+    return inner.join(bases, "part").select("shard", (F.col("base") + F.col("inner")).alias("start")), sum(k for _, _, k in sums)
 
-def shard_starts(manifest: DataFrame) -> dict[str, int]:
-    """The number of ids before each shard. The manifest has a short row for each file of many MB."""
-    rows = sorted((r["shard"], r["tokens"]) for r in manifest.select("shard", "tokens").collect())
-    starts = np.concatenate([[0], np.cumsum([n for _, n in rows])])
-    return {name: int(starts[i]) for i, (name, _) in enumerate(rows)}
 
+#: Tasks that read shards, at most.
+READERS = 1 << 16
 
-def read_shards(spark: SparkSession, folder: str, starts: dict[str, int], digest: bool = False) -> DataFrame:
-    """Every document of the shard files: doc_id, start (ids before it in all shards), ids (binary, unsigned 32-bit); with
-    digest, n_tokens and ids_crc32 (unsigned, of these bytes) in the place of ids."""
+
+def read_shards(folder: str, starts: DataFrame, shards: int, digest: bool = False) -> DataFrame:
+    """Every document of the shard files in starts (shard, start): doc_id, start (ids before it in all shards), ids (binary, unsigned
+    32-bit); with digest, n_tokens and ids_crc32 (unsigned, of these bytes) in the place of ids. A task opens the files that its rows name, so
+    what an attempt that was replaced has left is never read."""
+    uri = as_uri(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(uri)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                name = path.rpartition("/")[2]
-                if name not in starts:
-                    continue  # left by an attempt that another replaced
-                shard = Shard(content.as_buffer())
+            for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{path}/{name}") as file:
+                    shard = Shard(file.read_buffer())
                 step = max(1, shard.documents * (2 << 20) // max(1, 4 * shard.tokens))
                 for i in range(0, shard.documents, step):
                     j = min(i + step, shard.documents)
@@ -238,20 +274,16 @@ def read_shards(spark: SparkSession, folder: str, starts: dict[str, int], digest
                     parts = [ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
                     rest = [pa.array([len(x) // 4 for x in parts], pa.int64()), pa.array(map(zlib.crc32, parts), pa.int64())] if digest else [pa.array(map(bytes, parts), pa.binary())]
                     doc_ids = pa.array([None if d == NULL_ID else d for d in shard.doc_ids[i:j].tolist()], pa.int64())
-                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(shard.offsets[i:j] + starts[name], pa.int64()), *rest], names)
+                    yield pa.RecordBatch.from_arrays([doc_ids, pa.array(shard.offsets[i:j] + start, pa.int64()), *rest], names)
 
     schema = "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary")
     names = [c.split(" ")[0] for c in schema.split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bits").load(folder)
-    return files.select("path", "content").mapInArrow(tidy(run), schema)
+    return starts.select("shard", "start").repartition(max(1, min(shards, READERS))).mapInArrow(tidy(run), schema)
 
 
 def tokenize_to_files(df: DataFrame, tokenizer_path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """Write the shard files of a table and read them back, as read_shards(). Without a folder, they go to one in the
     shared folder. Empty tables give no rows."""
-    spark = df.sparkSession
-    folder = folder or work_dir(spark, "token-ids")
-    starts = shard_starts(write_shards(df, folder, tokenizer_path, id_col, text_col))
-    if not starts:
-        return spark.createDataFrame([], "doc_id long, start long, " + ("n_tokens long, ids_crc32 long" if digest else "ids binary"))
-    return read_shards(spark, folder, starts, digest)
+    folder = folder or work_dir(df.sparkSession, "token-ids")
+    starts, shards = shard_starts(write_shards(df, folder, tokenizer_path, id_col, text_col))
+    return read_shards(folder, starts, shards, digest)

@@ -348,6 +348,26 @@ def test_token_files_odd_rows(spark, odd, none, tokenizer, tmp_path):
     assert shard.bits == 16 and shard.document(shard.documents - 1)[-1] == 0
 
 
+def test_token_files_of_many_shards(spark, tokenizer, monkeypatch, tmp_path):
+    """Null ids and one id that holds a third of all rows are spread over partitions; several shards a partition."""
+    monkeypatch.setattr(token_store, "SHARD_BYTES", 300)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, f"text {i} of many") for i in range(300)] + [(-5, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = token_store.by_ranges(frame.selectExpr("doc_id AS id", "text", "xxhash64(text) AS tie")).select(F.col("id"), F.spark_partition_id().alias("p"))
+    assert parts.where("id IS NULL").select("p").distinct().count() > 1
+    got = token_store.tokenize_to_files(frame, queries.TOKENIZER, str(tmp_path / "ids")).orderBy("start").collect()
+    assert len(list((tmp_path / "ids").glob("*.bits"))) > 10
+    assert [r["doc_id"] for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    at = 0
+    for r in got:
+        assert r["start"] == at
+        at += len(r["ids"]) // 4
+    want = sorted(bytes(np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4")) for _, t in rows)
+    assert sorted(bytes(r["ids"]) for r in got) == want
+    nulls = spark.createDataFrame([(None, f"a{i}") for i in range(40)], "doc_id long, text string")
+    assert token_store.by_ranges(nulls.selectExpr("doc_id AS id", "text", "xxhash64(text) AS tie")).select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 31, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 5001).astype(np.uint32)
