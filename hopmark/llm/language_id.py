@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import Words, bounded_batches, hash_spans, pieces, tidy
+from hopmark.llm.common import Words, bounded_batches, hash_spans, pieces, sums_by_text, tidy
 
 BUCKET_BITS, NGRAM = 16, 3
 #: The sample that the field is fitted on: about so many documents a language, and a run of so many words of each.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 200
+#: A longer word than SAMPLE_LETTERS gives a piece of that length to the sample, at a place chosen by a hash.
+SAMPLE_DOCS, SAMPLE_WORDS, SAMPLE_LETTERS = 400, 200, 100
 #: Training: words of a sequence, passes, sequences a step, learning rate, weight decay.
 LENGTH, PASSES, STEP, RATE, DECAY = 40, 4, 256, 0.3, 1e-5
 #: Bytes of texts that are labelled in one go.
@@ -117,8 +118,8 @@ def marginals(emit: np.ndarray, first: np.ndarray, transitions: np.ndarray, move
 
 
 def fit(samples: list[tuple[str, bytes]], seed: int = 7) -> Field:
-    """Fit on (language, run of words). Half of the training sequences are one run's, the others join runs of different
-    languages, so that changes of language are among what the transitions learn."""
+    """Fit on (language, run of words). Half of the training sequences are one run's, the others join a run with the one before it in a random
+    order, of whatever language, so that changes of language are among what the transitions learn."""
     labels = sorted({lang for lang, _ in samples})
     rng = np.random.default_rng(seed)
     w = Words([text for _, text in sorted(samples)])
@@ -175,9 +176,11 @@ def word_labels(field: Field, texts: list[bytes]) -> tuple[Words, np.ndarray]:
     return w, marginals(scores[number], w.first, field.transitions, False)[0]
 
 
-def classify(field: Field, texts: list[bytes]) -> tuple[list[str], list[float]]:
-    """Language and its mean probability over the words of each text; `und` and 0 without letters."""
+def classify(field: Field, texts: list[bytes]) -> tuple[list[str], list[float], list[float]]:
+    """Language, its mean probability over the words of each text, and the mean over the words of each one's own best label; `und` and 0 without
+    letters."""
     w, p = word_labels(field, texts)
+    sure = sums_by_text(p.max(axis=1, initial=0.0), w.first) / np.maximum(w.counts, 1)
     total = np.concatenate([np.zeros((1, p.shape[1])), np.cumsum(p, axis=0)])
     mean = (total[w.first[1:]] - total[w.first[:-1]]) / np.maximum(w.counts, 1)[:, None]
     names, scores = [], []
@@ -189,7 +192,7 @@ def classify(field: Field, texts: list[bytes]) -> tuple[list[str], list[float]]:
             best = int(np.argmax(m))
             names.append(field.labels[best])
             scores.append(float(min(max(m[best], 0.0), 1.0)))
-    return names, scores
+    return names, scores, [0.0 if n == "und" else x for n, x in zip(names, sure.tolist(), strict=True)]
 
 
 def training_sample(rows: DataFrame, docs: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> list[tuple[str, bytes]]:
@@ -203,13 +206,17 @@ def training_sample(rows: DataFrame, docs: int = SAMPLE_DOCS, words: int = SAMPL
     mark = F.xxhash64("id", "text")
     chosen = rows.where(F.pmod(mark, F.lit(1_000_000)) < share).select("lang", "text", F.abs(F.shiftright(mark, 24)).alias("mark"))
 
+    def piece(word: str, mark: int) -> str:
+        at = mark % max(1, len(word) - SAMPLE_LETTERS + 1)
+        return word[at : at + SAMPLE_LETTERS]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for text, mark in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 parts = text.split()
                 first = mark % max(1, len(parts) - words + 1)
-                out.append(" ".join(x[:100] for x in parts[first : first + words]))
+                out.append(" ".join(piece(x, mark) for x in parts[first : first + words]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["lang", "text"])
 
     return [(r["lang"], r["text"].encode()) for r in chosen.mapInArrow(cut, "lang string, text string").collect()]
@@ -234,7 +241,7 @@ def language_id(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in pieces(batch, RUN):
-                names, scores = classify(field, texts)
+                names, scores, _ = classify(field, texts)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     bounded_batches(df.sparkSession)
@@ -242,15 +249,16 @@ def language_id(df: DataFrame, field: Field, id_col: str = "doc_id", text_col: s
 
 
 def keep_identified(df: DataFrame, field: Field, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows whose language is found with a score of `least` or more, with all their columns; no shuffle."""
+    """The rows with letters whose words' own labels have a mean probability of `least` or more, with all their columns: a text in several
+    languages stays if its words are labelled with confidence. No shuffle."""
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for _, texts in pieces(pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(place)], ["id", "text"]), RUN):
-                names, scores = classify(field, texts)
-                keep = [n != "und" and s >= least for n, s in zip(names, scores, strict=True)]
+                names, _, sure = classify(field, texts)
+                keep = [n != "und" and s >= least for n, s in zip(names, sure, strict=True)]
                 yield batch.slice(at, len(texts)).filter(pa.array(keep, pa.bool_()))
                 at += len(texts)
 

@@ -443,6 +443,19 @@ def test_language_of_words_in_mixed_text(spark):
     assert np.mean([x == "de" for x in best[:half]]) > 0.9 and np.mean([x == "es" for x in best[half:]]) > 0.9
 
 
+def test_documents_in_several_languages_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    field = language_id.fit_on(docs)
+    d = table("documents")
+    langs = sorted(x for x in d.lang.dropna().unique())
+    mixed = " ".join(" ".join(d[d.lang == x].text.iloc[3].split()[:50]) for x in langs)
+    w, p = language_id.word_labels(field, [mixed.encode()])
+    names, scores, sure = language_id.classify(field, [mixed.encode(), b"12 34"])
+    assert abs(sure[0] - p.max(axis=1).mean()) < 1e-9 and scores[0] == pytest.approx(p.mean(axis=0).max()) and (names[1], sure[1]) == ("und", 0.0)
+    rows = spark.createDataFrame([(1, mixed), (2, "12 34"), (3, None)], "doc_id long, text string")
+    assert scores[0] < 0.5 and [r["doc_id"] for r in language_id.keep_identified(rows, field).collect()] == [1]
+
+
 def test_forward_backward_against_enumeration():
     from itertools import product
 
