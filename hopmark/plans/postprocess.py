@@ -35,7 +35,7 @@ class Campaign:
         publish(df, str(path), self.codec)
         out = self.spark.read.parquet(str(path))
         if facts is not None:
-            write_json(str(path.with_suffix(".json")), facts)
+            write_json(self.spark, str(path.with_suffix(".json")), facts)
         return out
 
     def strategies(self, run: m.Measurement, reclassify: bool = False) -> DataFrame:
@@ -54,7 +54,7 @@ class Campaign:
         target = self.zmap(run) if run.scale == "base" else self.source(run, "targets.pq")
         target = target if os.path.exists(target) else self.zmap(run)
         facts = merge.checked_coverage(scan(self.spark, target, ["IP_ADDR"]), scan(self.spark, self.source(run, "ipid.pq"), ["IP_ADDR"]))
-        write_json(str(run.artifact(self.out, "coverage", "json")), facts)
+        write_json(self.spark, str(run.artifact(self.out, "coverage", "json")), facts)
         return facts
 
     def measurement(self, run: m.Measurement, reclassify: bool = False) -> None:

@@ -57,5 +57,5 @@ def calibrate(spark: SparkSession, cache: str, each: int = 1_000_000, rate: floa
         rows = one if rows is None else rows.union(one)
     found = reports.calibrated_threshold(rows, "DATASET", "score", rate).collect()
     out = {"parameters": wanted, "datasets": {r["DATASET"]: r["LOWER_QUANTILE"] for r in found}, "threshold": min(r["LOWER_QUANTILE"] for r in found)}
-    write_json(cache, out)
+    write_json(spark, cache, out)
     return out

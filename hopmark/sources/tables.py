@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-import os
 import uuid
 from collections.abc import Iterable
 
@@ -42,35 +40,59 @@ def scan_strategies(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("IPID_SELECTION_STRATEGY", F.col("IPID_SELECTION_STRATEGY").cast("string"))
 
 
+def store(spark: SparkSession, uri: str):
+    """The Hadoop file system that holds a URI, and the URI as its path: local, s3a and any other that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def listing(spark: SparkSession, pattern: str) -> list[str]:
-    """URIs that match a glob pattern in any store that Spark reads, in order; none if nothing does."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(f.getPath().toString() for f in found or [])
+    """URIs that match a glob pattern, in order; none if nothing does."""
+    files, path = store(spark, pattern)
+    return sorted(f.getPath().toString() for f in files.globStatus(path) or [])
 
 
 def exists(spark: SparkSession, uri: str) -> bool:
     """Whether exactly this URI is there; a prefix of other names does not count."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    files, path = store(spark, uri)
+    return files.exists(path)
+
+
+def read_text(spark: SparkSession, uri: str) -> str:
+    """A small text file as a whole."""
+    files, path = store(spark, uri)
+    stream = files.open(path)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def replace(spark: SparkSession, source: str, target: str) -> None:
+    """Rename source to target. What stood at target is first put aside and goes only after the new one is in place; if that fails, it is put back."""
+    (files, new), (_, path), (_, old) = store(spark, source), store(spark, target), store(spark, f"{target.rstrip('/')}.{uuid.uuid4().hex}.old")
+    before = files.exists(path)
+    if before and not files.rename(path, old):
+        raise OSError(f"cannot put {target} aside")
+    if not files.rename(new, path):
+        if before:
+            files.rename(old, path)
+        raise OSError(f"cannot rename {source} to {target}")
+    if before:
+        files.delete(old, True)
 
 
 def publish(df: DataFrame, path: str, codec: str = "zstd") -> str:
-    """Write beside the path and rename, so a reader sees the whole table or none; on failure nothing is left."""
+    """Write beside the path and rename, so a reader sees whole tables only; on failure the old table stays and nothing else is left."""
     spark = df.sparkSession
     part = f"{path.rstrip('/')}.{uuid.uuid4().hex}.part"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path)
-    store = target.getFileSystem(conf)
     try:
         df.write.option("compression", CODECS[codec]).parquet(part)
-        if store.exists(target):
-            store.delete(target, True)
-        if not store.rename(source, target):
-            raise OSError(f"cannot rename {part} to {path}")
+        replace(spark, part, path)
     finally:
-        if store.exists(source):
-            store.delete(source, True)
+        files, source = store(spark, part)
+        if files.exists(source):
+            files.delete(source, True)
     return path
 
 
@@ -83,21 +105,23 @@ def import_strategies(spark: SparkSession, source: str, target: str, codec: str
     return spark.read.parquet(target).count()
 
 
-def write_json(path: str, data: dict) -> None:
+def write_json(spark: SparkSession, uri: str, data: dict) -> None:
     """A small sidecar, sorted keys, renamed into place."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}.part"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(data, f, indent=2, sort_keys=True)
-    os.replace(part, path)
-
-
-def digest(paths: Iterable[str]) -> dict:
-    """Bytes and SHA-256 of local files, in their order, as one stream."""
-    h, size = hashlib.sha256(), 0
-    for p in paths:
-        with open(p, "rb") as f:
-            while block := f.read(1 << 20):
-                h.update(block)
-                size += len(block)
-    return {"size": size, "sha256": h.hexdigest()}
+    part = f"{uri}.{uuid.uuid4().hex}.part"
+    files, path = store(spark, part)
+    stream = files.create(path)
+    stream.write(bytearray(json.dumps(data, indent=2, sort_keys=True).encode()))
+    stream.close()
+    replace(spark, part, uri)
+
+
+def digest(spark: SparkSession, uris: Iterable[str]) -> dict:
+    """Bytes and SHA-256 of files, in their order, as one stream."""
+    jvm, size = spark.sparkContext._jvm, 0
+    sha = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    for uri in uris:
+        files, path = store(spark, uri)
+        stream = jvm.java.security.DigestInputStream(files.open(path), sha)
+        size += jvm.org.apache.commons.io.IOUtils.consume(stream)
+        stream.close()
+    return {"size_bytes": size, "sha256": bytes(sha.digest()).hex()}

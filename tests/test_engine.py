@@ -328,7 +328,7 @@ def test_worker(spark, tmp_path):
     request = {"version": 1, "job_id": "icmp_1", "protocol": "icmp", "measurement_id": "icmp_1", "ipid_uri": f"{home}/ipid.pq", "snapshot_uri": f"{home}/ipid.snapshot.yaml", "result_uri": f"{home}/zmap_unclassified.pq", "done_uri": f"{job}/done.json", "failed_uri": f"{job}/failed.json", "created_at": "now"}
     for change in ({"version": 2}, {"protocol": "tcp"}, {"done_uri": "x"}, {"job_id": "/"}, {"extra": 1}, {"ipid_uri": "x"}):
         with pytest.raises(ValueError):
-            worker.Request.parse(request | change, prefix)
+            worker.checked(request | change, prefix)
     os.makedirs(job)
     with open(f"{job}/request.json", "w") as f:
         json.dump(request, f)
@@ -337,7 +337,21 @@ def test_worker(spark, tmp_path):
         done = json.load(f)
     targets = spark.read.parquet(request["result_uri"])
     assert done["rows"] == targets.count() > 0 and targets.columns == ["IP_ADDR", "REPLY_TYPE"] and len(done["sha256"]) == 64
-    assert worker.run_documents(spark, [json.dumps(request), "{}"], prefix)["icmp_1"] == "skipped"
+    assert done["size_bytes"] > 0 and done["size_bytes"] == sum(os.path.getsize(os.path.join(request["result_uri"], x)) for x in os.listdir(request["result_uri"]) if x.endswith(".parquet"))
+    documents = [(f"{prefix}/jobs/{j}/request.json", t) for j, t in (("icmp_1", json.dumps(request)), ("bad", "{"), ("odd", "[1]"), ("icmp_2", json.dumps(request)))]
+    states = worker.run_documents(spark, documents, prefix)
+    assert states["icmp_1"] == "skipped" and all(states[j].startswith("failed") and os.path.exists(f"{prefix}/jobs/{j}/failed.json") for j in ("bad", "odd", "icmp_2"))
+    assert set(worker.run_documents(spark, documents, f"file:{prefix}").values()) == {"skipped"}
+
+
+def test_analysis_requests(tmp_path):
+    prefix = "s3a://store/work"
+    job = f"{prefix}/analysis-jobs/tcp_1"
+    request = {"version": 1, "job_id": "tcp_1", "protocol": "tcp", "manifest_uri": f"{job}/manifest.json", "zmap_prefix": "s3a://raw/zmap", "os_prefix": "s3a://raw/os", "ipid_prefix": "s3a://raw/ipid", "done_uri": f"{job}/done.json", "failed_uri": f"{job}/failed.json", "created_at": "now"}
+    assert worker.checked(request, prefix, "analysis-jobs") == request
+    for change in ({"zmap_prefix": "s3a://"}, {"manifest_uri": "x"}, {"version": 3}, {"job_id": "icmp_1"}, {"extra": 1}, {"created_at": None}):
+        with pytest.raises(ValueError):
+            worker.checked(request | change, prefix, "analysis-jobs")
 
 
 def test_publish_leaves_nothing_on_failure(spark, tmp_path):
