@@ -9,6 +9,8 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,36 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Bits of the map by which rows that a key may concern are told from all others: 4 MB, whatever the number of keys.
+MAP_BITS = 1 << 25
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, longer by underscores where df has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n + "_" * k for k in range(len(taken) + 1) if n + "_" * k not in taken) for n in names]
+
+
+def parted_by_keys(df: DataFrame, key: F.Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be in the one column of keys, and those whose key is not, with df's columns.
+
+    A map of MAP_BITS hashed keys tells them apart; it is all that is broadcast, so later joins shuffle the first part only. Keys beyond
+    what the map can tell apart make that part larger, to the whole of df at worst, and lose nothing."""
+    at, bucket, bits = free_names(df, "map_at", "map_bucket", "map_bits")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    found = keys.toDF("key").select(place("key").alias("at")).groupBy(F.bitmap_bucket_number("at").alias(bucket))
+    found = stored(found.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias(bits)), "map", keep=True)
+    marked = df.withColumn(at, place(key)).join(F.broadcast(found), F.bitmap_bucket_number(at) == F.col(bucket), "left")
+    byte = f"cast(conv(hex(substring({bits}, cast(bitmap_bit_position({at}) div 8 as int) + 1, 1)), 16, 10) as bigint)"
+    hit = F.expr(f"coalesce(getbit({byte}, cast(bitmap_bit_position({at}) % 8 as int)) = 1, false)")
+    return tuple(marked.where(c).drop(at, bucket, bits) for c in (hit, ~hit))
+
+
 def without_keys(df: DataFrame, key: F.Column, keys: DataFrame) -> DataFrame:
     """The rows of df whose key is not in the one column of keys; df's own columns may have any names."""
-    name = "key"
-    while name in df.columns:
-        name += "_"
-    return df.join(keys.toDF(name).distinct(), key == F.col(name), "left_anti")
+    (name,) = free_names(df, "key")
+    some, others = parted_by_keys(df, key, keys)
+    return others.union(some.join(keys.toDF(name).distinct(), key == F.col(name), "left_anti"))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -66,9 +92,28 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """What stored() writes within is deleted at the end, but for tables to keep."""
+    paths: list[str] = []
+    before = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(before)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write to the shared folder and read again: computed once, and safe from the loss of executors."""
     path = work_dir(df.sparkSession, name)
+    if not keep and (paths := _passing.get()) is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

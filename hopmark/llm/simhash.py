@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopmark.llm.common import Words, bounded_batches, id_and_text, pieces, stored, tidy, without_keys
+from hopmark.llm.common import Words, bounded_batches, id_and_text, parted_by_keys, passing_tables, pieces, stored, tidy, without_keys
 from hopmark.llm.graph import connected_components
 
 BITS, SEED, DISTANCE = 64, 42, 2
@@ -112,12 +112,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     row of a component has an id, that is null. Rows of one fingerprint are one node of the graph, so copies cost one
     row each, and only differing fingerprints are joined. An empty table gives no rows.
     """
-    rows = stored(fingerprints(df, id_col, text_col, shingle), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
-    known = nodes.where("rep IS NOT NULL")
-    found = connected_components(links(known, pairwise))
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    named = stored(named, "components")
+    with passing_tables(df.sparkSession):
+        rows = stored(fingerprints(df, id_col, text_col, shingle), "fingerprints", keep=True)
+        nodes = stored(rows.groupBy("fp").agg(F.min("id").alias("rep")), "nodes")
+        known = nodes.where("rep IS NOT NULL")
+        found = connected_components(links(known, pairwise))
+        named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+        named = stored(named, "components", keep=True)
     return rows.join(named, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -186,9 +187,9 @@ def shingle_sets(w: Words) -> Sets:
     return Sets(np.packbits(bits, axis=1).view(np.int64), keys.view(np.int64), grams, digests.view(np.int64), size)
 
 
-#: Columns that tell sets of shingles apart.
 SKETCHED = [f"s{i}" for i in range(SKETCH)]
-NAMES = ["fp", "whole", "n", *SKETCHED]
+#: Columns that tell sets of shingles apart: 128 bits of digests and the size.
+NAMES = ["fp", "whole", "n"]
 
 
 def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -209,10 +210,10 @@ def all_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 sets = shingle_sets(Words(part, NOT_SPACE))
                 fps = pa.array([fingerprint(t) for t in part], pa.int64())
                 columns = [ids, batch.column(2).slice(done, len(part)), fps, pa.array(sets.whole), pa.array(sets.size), *(pa.array(np.ascontiguousarray(c)) for c in sets.sketch.T)]
-                yield pa.RecordBatch.from_arrays([*columns, _lists([k[: len(k) * (x > 0)] for k, x in zip(sets.keys, sets.size, strict=True)], pa.int64()), _lists(sets.grams, pa.int32())], ["id", "h", *NAMES, "keys", "grams"])
+                yield pa.RecordBatch.from_arrays([*columns, _lists([k[: len(k) * (x > 0)] for k, x in zip(sets.keys, sets.size, strict=True)], pa.int64()), _lists(sets.grams, pa.int32())], ["id", "h", *NAMES, *SKETCHED, "keys", "grams"])
                 done += len(part)
 
-    return texts.withColumn("h", text_hash("text")).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in ["id", "h", *NAMES]) + ", keys array<long>, grams array<int>")
+    return texts.withColumn("h", text_hash("text")).mapInArrow(tidy(run), ", ".join(f"{n} long" for n in ["id", "h", *NAMES, *SKETCHED]) + ", keys array<long>, grams array<int>")
 
 
 def text_hash(text_col: str) -> F.Column:
@@ -233,7 +234,8 @@ def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     sure = F.col("differ") <= int(32 * SKETCH * (1 - SURE))
     doubtful = pairs.where(~sure).select("a", "b")
     wanted = doubtful.select(F.col("a").alias("rep")).union(doubtful.select("b")).distinct()
-    sets = stored(grams.join(wanted, "rep", "left_semi"), "sets")
+    some, _ = parted_by_keys(grams, F.col("rep"), wanted)
+    sets = stored(some.join(wanted, "rep", "left_semi"), "sets")
     one, two = (sets.select(F.col("rep").alias(n), F.col("grams").alias(f"{n}_set")) for n in ("a", "b"))
     alike = 9 * F.size(F.array_intersect("a_set", "b_set")) >= 4 * (F.size("a_set") + F.size("b_set"))
     return pairs.where(sure).select("a", "b").union(doubtful.join(one, "a").join(two, "b").where(alike).select("a", "b"))
@@ -282,8 +284,8 @@ def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Groups are joined by the links of near_duplicates() and by those of wide_links(). The nodes are sets of shingles with fingerprints, never ids,
     so rows that share an id are told apart by their texts."""
     rows = stored(all_fingerprints(df, id_col, text_col).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
-    nodes = rows.groupBy(*NAMES).agg(F.min("rid").alias("rep"), F.expr(f"min({FIRST})").alias("first"), F.min_by("keys", "rid").alias("keys"))
-    nodes = stored(nodes, "nodes")
+    nodes = rows.groupBy(*NAMES).agg(F.min("rid").alias("rep"), F.expr(f"min({FIRST})").alias("first"), F.min_by(F.struct("keys", *SKETCHED), "rid").alias("own"))
+    nodes = stored(nodes.select(*NAMES, "rep", "first", "own.*"), "nodes")
     same = nodes.groupBy("fp").agg(F.min("rep").alias("lead"))
     edges = nodes.join(same, "fp").where("rep <> lead").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
     edges = edges.union(links(stored(same.withColumnRenamed("lead", "rep").select("rep", "fp"), "narrow")))
@@ -306,15 +308,16 @@ def copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def without_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of copy_groups(), with all its columns: that of the smallest id (null ids last; of several texts with one id, that of
     the smallest hash). Of rows that agree in id and text, any one. Rows that share an id but not a group stay."""
-    found = stored(grouped(df, id_col, text_col).groupBy("id", "h", "first").count(), "decisions")
+    with passing_tables(df.sparkSession):
+        found = stored(grouped(df, id_col, text_col).groupBy("id", "h", "first").count(), "decisions", keep=True)
     key = lambda i, h: F.struct(i.isNull(), F.coalesce(i, F.lit(0)), h)
     mark = key(F.col(id_col).cast("long"), text_hash(text_col))
     stays = (F.col("first.no_id") == F.col("id").isNull()) & F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.h") == F.col("h"))
-    own = key(F.col("id"), F.col("h"))
-    kept = without_keys(df, mark, found.where(~stays).select(own))
-    repeated = stored(found.where(stays & (F.col("count") > 1)).select(own.alias("key")), "repeated")
+    own = key(F.col("id"), F.col("h")).alias("key")
+    repeated = stored(found.where(stays & (F.col("count") > 1)).select(own), "repeated", keep=True)
+    single = without_keys(df, mark, found.where(~stays | (F.col("count") > 1)).select(own))
     if repeated.isEmpty():
-        return kept
-    single = without_keys(kept, mark, repeated)
-    inner = kept.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), mark.alias("key")).join(repeated, "key", "left_semi")
+        return single
+    some, _ = parted_by_keys(df, mark, repeated)
+    inner = some.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), mark.alias("key")).join(repeated, "key", "left_semi")
     return single.union(inner.groupBy("key").agg(F.first("row").alias("row")).select("row.*"))

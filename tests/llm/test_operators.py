@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy, on small whole tables."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -14,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from hopmark.llm import bpe, decontaminate, html_extract, importance, language_id, license_scan, media, pseudo_likelihood, queries, simhash, token_store
+from hopmark.llm import bpe, common, decontaminate, html_extract, importance, language_id, license_scan, media, pseudo_likelihood, queries, simhash, token_store
 from hopmark.llm.common import TOKEN_BYTES, Words, hash_spans
 from hopmark.llm.graph import connected_components
 
@@ -672,6 +673,32 @@ def test_copies_in_a_crowd_are_linked(spark):
     assert [i for i in range(n) if got[i] != got[n + i]] == [] and len({*got.values()}) > n / 2
 
 
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 4])
+def test_rows_are_parted_by_keys_whole(spark, bits, monkeypatch):
+    """However full the map is, no row is lost and only rows without a key are taken out of the join."""
+    monkeypatch.setattr(common, "MAP_BITS", bits)
+    df = spark.range(3000).selectExpr("id", "id % 7 AS key", "'x' AS map_at", "null AS MAP_BITS")
+    keys = spark.createDataFrame([(i,) for i in range(0, 4000, 9)], "id long")
+    some, others = common.parted_by_keys(df, F.col("id"), keys)
+    assert some.columns == others.columns == df.columns
+    some, others = ([r["id"] for r in x.collect()] for x in (some, others))
+    assert sorted(some + others) == [*range(3000)] and {*range(0, 3000, 9)} <= {*some} and (len(some) < 400 or bits < 100)
+    assert sorted(r["id"] for r in common.without_keys(df, F.col("id"), keys).collect()) == [i for i in range(3000) if i % 9]
+    assert common.without_keys(df, F.col("id"), keys.limit(0)).count() == 3000 and common.without_keys(df.limit(0), F.col("id"), keys).count() == 0
+
+
+def test_passing_tables_are_deleted(spark, docs):
+    def tables():
+        folder = common.checkpoint_dir(spark).removeprefix("file:")
+        return {x.split("-")[0] for x in os.listdir(folder)} if os.path.isdir(folder) else set()
+
+    with common.passing_tables(spark):
+        gone = common.stored(spark.range(3), "gone")
+        stays = common.stored(gone, "stays", keep=True)
+        assert gone.count() == 3 and {"gone", "stays"} <= tables()
+    assert stays.count() == 3 and "gone" not in tables() and "stays" in tables()
+
+
 def test_components(spark):
     rng = np.random.default_rng(0)
     pairs = [(i, i + 1) for i in range(300, 380)] + [(0, int(x)) for x in range(1, 60)] + [(int(a), int(b)) for a, b in rng.integers(400, 500, (60, 2))] + [(5, 5), (None, 3)]
