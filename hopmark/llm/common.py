@@ -78,15 +78,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
