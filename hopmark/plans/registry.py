@@ -22,7 +22,10 @@ NETS = 40
 
 
 class Inputs:
-    """The derived relations of one set of tables."""
+    """The derived relations of one set of tables.
+
+    Spark guesses the size of sequences from that of the keys, far too small, and may broadcast them through the driver; so the
+    sequences, and what is derived from their rows, are joined by sorted shuffles (a hint that passes on to labels and intervals)."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -32,14 +35,14 @@ class Inputs:
         return self.spark.read.parquet(f"{self.dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k")).repartition(n)
 
     def base(self, times: bool = False) -> DataFrame:
-        return synthetic.from_keys(self.keys(), BASE, times)
+        return synthetic.from_keys(self.keys(), BASE, times).hint("merge")
 
     def mass(self, times: bool = False) -> DataFrame:
-        return synthetic.from_keys(self.keys().where("k % 11 <> 0"), MASS, times)
+        return synthetic.from_keys(self.keys().where("k % 11 <> 0"), MASS, times).hint("merge")
 
     def whole(self) -> DataFrame:
         """Mass sequences without a loss."""
-        return synthetic.from_keys(self.keys().where("k % 11 <> 0"), MASS, lossy=False)
+        return synthetic.from_keys(self.keys().where("k % 11 <> 0"), MASS, lossy=False).hint("merge")
 
     def addresses(self, where: str = "true") -> DataFrame:
         return self.keys().where(where).select("k", F.expr(synthetic.ADDRESS.format(div="div", s="string")).alias("IP_ADDR"))

@@ -390,6 +390,13 @@ def test_registered_query(spark, name):
         same(got, con.sql(sql).df())
 
 
+@pytest.mark.parametrize("name", ["JN_11_raw_with_labels", "JN_01_merge"])
+def test_sequences_are_never_broadcast(spark, name):
+    """Spark takes sequences of any number of rows for a few bytes a key: whatever it guesses, none goes through the driver."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert [r[LABEL] for r in sorted(rows)] == [*LABELS] and sum(r["COUNT"] for r in rows) == 1500
