@@ -6,7 +6,7 @@ the class. A document's score is the sum of the conditional log-probabilities of
 
 Tokens are hashed to 2^14 numbers. All tokens of all documents give the counts of numbers and of neighbours, from which the embeddings and
 the output weights start (a factorisation of the neighbours' log ratios). Then every document trains the network once, in the round that a hash
-deals it to, with every STRIDE-th of its tokens as targets: a round's gradients over all its documents are summed, and each row
+deals it to, with each of its tokens as a target: a round's gradients over all its documents are summed, and each row
 of weights takes a step by the mean over the tokens that it serves. Sums are exact or of double precision and weights are rounded to
 whole multiples of UNIT, so the result does not depend on how the rows are partitioned.
 """
@@ -25,17 +25,21 @@ from hopmark.llm.common import TOKEN_BYTES, Words, bounded_batches, id_and_text,
 
 TOKEN_BITS, INPUT_BITS = 14, 12
 TOKENS, INPUTS = 1 << TOKEN_BITS, 1 << INPUT_BITS
-#: The commonest tokens are classes of their own; the others are dealt to SHARED classes of as many tokens each, by frequency.
+#: The commonest tokens are classes of their own; the others are dealt to SHARED classes by frequency, with as much of the sum of the counts' square
+#: roots in each: classes of common tokens are small, which makes the least work in all.
 OWN, SHARED = 32, 96
 CLASSES = OWN + SHARED
 DIM, WINDOW = 12, 3
 HIDDEN = 2 * DIM
-#: Rounds, every how many tokens are targets, tokens' worth of a prior on steps and ratios, and the longest step of a weight.
-ROUNDS, STRIDE, PRIOR, LONGEST = 3, 6, 20.0, 0.3
+#: Rounds, tokens' worth of a prior on steps and ratios, and the longest step of a weight.
+ROUNDS, PRIOR, LONGEST = 3, 20.0, 0.3
 #: Step sizes: the hidden layer's outputs are small, so the weights on them take longer steps.
 RATES = {"left": 0.3, "right": 0.3, "place": 0.02, "hidden": 0.02, "bias": 0.02, "out": 8.0, "out_bias": 0.5, "member": 16.0}
 SCALE, UNIT = 0.25, 1e-5
-CHUNK = 1 << 15
+#: Tokens that are sorted by class at once, and those whose class probabilities are held at once.
+CHUNK, BLOCK = 1 << 16, 1 << 10
+#: Tokens that a task adds up at once.
+RUN = 1 << 18
 
 
 class Classes(NamedTuple):
@@ -58,7 +62,11 @@ def make_classes(counts: np.ndarray) -> Classes:
     of = np.empty(len(n), np.int64)
     of[order[:OWN]] = np.arange(OWN)
     rest = order[OWN:]
-    of[rest] = OWN + np.arange(len(rest)) * SHARED // len(rest)
+    cost = np.cumsum(np.sqrt(n[rest]))
+    at = np.arange(SHARED)
+    starts = np.searchsorted(cost, cost[-1] * at / SHARED)
+    starts = np.minimum(np.maximum.accumulate(starts - at) + at, len(rest) - SHARED + at)  # no class is empty
+    of[rest] = OWN + np.searchsorted(starts, np.arange(len(rest)), side="right") - 1
     members = [np.flatnonzero(of == c) for c in range(CLASSES)]
     place = np.empty(len(n), np.int64)
     for m in members:
@@ -78,14 +86,18 @@ class Spans(NamedTuple):
 
 
 def windows(t: np.ndarray, w: Words | Spans) -> np.ndarray:
-    """Inputs around each token: WINDOW on the left, from far to near, and WINDOW on the right."""
+    """Inputs around each token: WINDOW on the left, from far to near, and WINDOW on the right; a column lies in one piece."""
     n = len(t)
     padded = np.full(n + 2 * WINDOW, EDGE, np.int64)
     padded[WINDOW : WINDOW + n] = np.minimum(t >> (TOKEN_BITS - INPUT_BITS), EDGE - 1)
-    at = np.arange(n)
-    start, end = np.repeat(w.first[:-1], w.counts), np.repeat(w.first[1:], w.counts)
     shifts = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
-    return np.column_stack([np.where((at + s >= start) & (at + s < end), padded[WINDOW + s : WINDOW + s + n], EDGE) for s in shifts])
+    out = np.empty((2 * WINDOW, n), np.int64)
+    for x, s in zip(out, shifts, strict=True):
+        x[:] = padded[WINDOW + s : WINDOW + s + n]
+        for d in range(abs(s)):  # so many tokens at an end of a document have no neighbour there
+            long = w.counts > d
+            x[w.first[:-1][long] + d if s < 0 else w.first[1:][long] - 1 - d] = EDGE
+    return out.T
 
 
 #: Numbers are summed over tasks in rows of so many columns.
@@ -112,30 +124,47 @@ def summed(data: DataFrame, size: int, add, kind: str = "long") -> np.ndarray:
     return out.ravel()[:size]
 
 
-def count_tokens(texts: DataFrame) -> np.ndarray:
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, Spans]]:
+    """Token numbers of whole documents, from rows of training_tokens(), in runs of RUN tokens or a little more."""
+    parts, sizes, held = [], [], 0
+    for b in batches:
+        for raw, counts in zip(b.column("tokens").to_pylist(), b.column("counts").to_pylist(), strict=True):
+            parts.append(np.frombuffer(raw, "<u2"))
+            sizes.append(np.frombuffer(counts, "<i8"))
+            held += len(parts[-1])
+            if held >= RUN:
+                yield spanned(parts, sizes)
+                parts, sizes, held = [], [], 0
+    if parts:
+        yield spanned(parts, sizes)
+
+
+def spanned(parts: list[np.ndarray], sizes: list[np.ndarray]) -> tuple[np.ndarray, Spans]:
+    counts = np.concatenate(sizes)
+    return np.concatenate(parts).astype(np.int64), Spans(np.concatenate([[0], np.cumsum(counts)]), counts)
+
+
+def count_tokens(data: DataFrame) -> np.ndarray:
     """Counts of all token numbers over all documents."""
 
     def add(n: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
-        for batch in batches:
-            for _, part in pieces(batch):
-                n += np.bincount(tokens(part)[0], minlength=TOKENS)
+        for t, _ in runs(batches):
+            n += np.bincount(t, minlength=TOKENS)
 
-    return summed(texts, TOKENS, add)
+    return summed(data, TOKENS, add)
 
 
-def count_neighbours(texts: DataFrame, classes: Classes) -> np.ndarray:
+def count_neighbours(data: DataFrame, classes: Classes) -> np.ndarray:
     """How often each input stands next to a token of each class, on its left and on its right, over all documents."""
     of = classes.of
 
     def add(n: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
-        for batch in batches:
-            for _, part in pieces(batch):
-                t, w = tokens(part)
-                x, y = windows(t, w), of[t]
-                for side, c in enumerate((WINDOW - 1, WINDOW)):
-                    n[side * INPUTS * CLASSES : (side + 1) * INPUTS * CLASSES] += np.bincount(x[:, c] * CLASSES + y, minlength=INPUTS * CLASSES)
+        for t, w in runs(batches):
+            x, y = windows(t, w), of[t]
+            for side, c in enumerate((WINDOW - 1, WINDOW)):
+                n[side * INPUTS * CLASSES : (side + 1) * INPUTS * CLASSES] += np.bincount(x[:, c] * CLASSES + y, minlength=INPUTS * CLASSES)
 
-    return summed(texts, 2 * INPUTS * CLASSES, add).reshape(2, INPUTS, CLASSES)
+    return summed(data, 2 * INPUTS * CLASSES, add).reshape(2, INPUTS, CLASSES)
 
 
 def rounded(p: Params) -> Params:
@@ -175,44 +204,79 @@ def initial(counts: np.ndarray, near: np.ndarray, classes: Classes) -> Params:
     })
 
 
-def hidden_layer(p: Params, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Embeddings around each token, their weighted sums by side, and the hidden layer."""
-    e = np.concatenate([p["left"][x[:, :WINDOW]], p["right"][x[:, WINDOW:]]], axis=1)
-    placed = e * p["place"]
-    both = np.concatenate([placed[:, :WINDOW].sum(axis=1), placed[:, WINDOW:].sum(axis=1)], axis=1)
-    return e, both, np.tanh(both @ p["hidden"] + p["bias"])
+#: Numbers between this and its negative have exponentials, and sums of them, without a maximum taken off first.
+SAFE = 60.0
+
+
+class Layers:
+    """The weights as they are applied: of each place and input what it adds to the hidden layer; output weights of classes and, for each class, of its
+    tokens, with the biases as a last row for a hidden layer that ends in a one."""
+
+    def __init__(self, p: Params, classes: Classes):
+        self.bias, kind = p["bias"], p["out"].dtype
+        self.inputs = [(p["left" if c < WINDOW else "right"] * p["place"][c]) @ p["hidden"][(c >= WINDOW) * DIM :][:DIM] for c in range(2 * WINDOW)]
+        self.out = np.concatenate([p["out"], p["out_bias"]])
+        member = np.concatenate([p["member"], classes.log_share[:, None].astype(kind)], axis=1)
+        self.members = [np.ascontiguousarray(member[m].T) for m in classes.members]
+        # a hidden layer is between -1 and 1
+        self.safe = np.abs(member).sum(axis=1).max() < SAFE
+
+    def hidden(self, x: np.ndarray) -> np.ndarray:
+        """The hidden layer around each token, and a one."""
+        h = np.ones((len(x), HIDDEN + 1), self.out.dtype)
+        z = np.take(self.inputs[0], x[:, 0], axis=0)
+        for c in range(1, 2 * WINDOW):
+            z += np.take(self.inputs[c], x[:, c], axis=0)
+        z += self.bias
+        np.tanh(z, out=h[:, :HIDDEN])
+        return h
+
+    def exponents(self, h: np.ndarray, c: int | None = None) -> np.ndarray:
+        """What the softmax over classes, or over the tokens of class c, takes the exponentials of."""
+        z = h @ (self.out if c is None else self.members[c])
+        if not (c is not None and self.safe) and (z.max() > SAFE or z.min() < -SAFE):
+            z -= z.max(axis=1, keepdims=True)
+        return z
+
+    def log_prob(self, h: np.ndarray, y: np.ndarray, c: int | None = None) -> np.ndarray:
+        """The log-probability of each row's own y."""
+        z = self.exponents(h, c)
+        return z[np.arange(len(z)), y].astype(np.float64) - np.log(sums_of_rows(np.exp(z, out=z)))
+
+
+def sums_of_rows(e: np.ndarray) -> np.ndarray:
+    return e @ np.ones(e.shape[1], e.dtype)
+
 
+def by_class(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of tokens by class, and where each class begins in it."""
+    small = y.astype(np.uint8 if CLASSES <= 256 else np.uint16)  # sorted by digits
+    return np.argsort(small, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(y, minlength=CLASSES))])
 
-def by_class(y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Each class of y with several tokens, and its places."""
-    order = np.argsort(y, kind="stable")
-    edge = np.searchsorted(y[order], np.arange(OWN, CLASSES + 1))
+
+def shared(edge: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each class of several tokens that occurs, and its places in the order."""
     for c in range(OWN, CLASSES):
-        if edge[c - OWN] < edge[c - OWN + 1]:
-            yield c, order[edge[c - OWN] : edge[c - OWN + 1]]
+        if edge[c] < edge[c + 1]:
+            yield c, slice(edge[c], edge[c + 1])
 
 
 def log_probs(p: Params, classes: Classes, t: np.ndarray, w: Words | Spans) -> np.ndarray:
     """The conditional log-probability of each token."""
     out = np.empty(len(t))
-    x = windows(t, w)
+    x, layers = windows(t, w), Layers(p, classes)
     for s in range(0, len(t), CHUNK):
         own = t[s : s + CHUNK]
-        y = classes.of[own]
-        h = hidden_layer(p, x[s : s + CHUNK])[2]
-        z = h @ p["out"]
-        z += p["out_bias"]
-        z -= z.max(axis=1, keepdims=True)
-        got = z[np.arange(len(z)), y].astype(np.float64)
-        got -= np.log(np.exp(z, out=z).sum(axis=1))
-        for c, at in by_class(y):
-            m = classes.members[c]
-            z = h[at] @ p["member"][m].T
-            z += classes.log_share[m].astype(np.float32)
-            z -= z.max(axis=1, keepdims=True)
-            got[at] += z[np.arange(len(at)), classes.place[own[at]]]
-            got[at] -= np.log(np.exp(z, out=z).sum(axis=1))
-        out[s : s + CHUNK] = got
+        order, edge = by_class(classes.of[own])
+        own = own[order]
+        y, place = classes.of[own], classes.place[own]
+        h = np.take(layers.hidden(x[s : s + CHUNK]), order, axis=0)
+        got = np.empty(len(own))
+        for b in range(0, len(own), BLOCK):
+            got[b : b + BLOCK] = layers.log_prob(h[b : b + BLOCK], y[b : b + BLOCK])
+        for c, at in shared(edge):
+            got[at] += layers.log_prob(h[at], place[at], c)
+        out[s + order] = got
     return out
 
 
@@ -224,38 +288,48 @@ class Gradient:
         self.served = {"left": np.zeros(INPUTS), "right": np.zeros(INPUTS), "class": np.zeros(CLASSES), "all": np.zeros(1)}
 
     def add(self, p: Params, classes: Classes, x: np.ndarray, t: np.ndarray) -> None:
-        y, n = classes.of[t], len(t)
-        e, both, h = hidden_layer(p, x)
-        z = h @ p["out"] + p["out_bias"]
-        d = np.exp(z - z.max(axis=1, keepdims=True))
-        d /= -d.sum(axis=1, keepdims=True)
-        d[np.arange(n), y] += 1.0
-        dh = d @ p["out"].T
-        self.sums["out"] += h.T @ d
-        self.sums["out_bias"] += d.sum(axis=0)
-        for c, at in by_class(y):
-            m = classes.members[c]
-            z = h[at] @ p["member"][m].T + classes.log_share[m].astype(np.float32)
-            dm = np.exp(z - z.max(axis=1, keepdims=True))
-            dm /= -dm.sum(axis=1, keepdims=True)
-            dm[np.arange(len(at)), classes.place[t[at]]] += 1.0
-            dh[at] += dm @ p["member"][m]
-            self.sums["member"][m] += dm.T @ h[at]
-        dh *= 1 - h * h
-        self.sums["hidden"] += both.T @ dh
-        self.sums["bias"] += dh.sum(axis=0)
-        dboth = dh @ p["hidden"].T
-        for side, name in enumerate(("left", "right")):
-            own = dboth[:, side * DIM : (side + 1) * DIM]
-            for c in range(side * WINDOW, (side + 1) * WINDOW):
-                self.sums["place"][c] += (own * e[:, c]).sum(axis=0)
-                order = np.argsort(x[:, c], kind="stable")
-                ids = x[order, c]
-                cut = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                self.sums[name][ids[cut]] += np.add.reduceat((own * p["place"][c])[order], cut, axis=0)
-                self.served[name] += np.bincount(x[:, c], minlength=INPUTS)
-        self.served["class"] += np.bincount(y, minlength=CLASSES)
-        self.served["all"] += n
+        layers, sums = Layers(p, classes), self.sums
+        back, inner = np.ascontiguousarray(p["out"].T), np.zeros((2 * WINDOW, HIDDEN, INPUTS))
+        outer = np.zeros((HIDDEN + 1, CLASSES))
+        for s in range(0, len(t), CHUNK):
+            own, around = t[s : s + CHUNK], x[s : s + CHUNK]
+            order, edge = by_class(classes.of[own])
+            own = own[order]
+            y, place = classes.of[own], classes.place[own]
+            h = np.take(layers.hidden(around), order, axis=0)
+            dh = np.take(back, y, axis=0)
+            for b in range(0, len(own), BLOCK):
+                at = slice(b, b + BLOCK)
+                e = layers.exponents(h[at])
+                part = 1 / sums_of_rows(np.exp(e, out=e))[:, None]
+                outer -= (h[at] * part).T @ e
+                dh[at] -= (e @ back) * part
+            here = np.flatnonzero(np.diff(edge))
+            outer[:, here] += np.add.reduceat(h, edge[here], axis=0).T
+            for c, at in shared(edge):
+                d = layers.exponents(h[at], c)
+                d *= -1 / sums_of_rows(np.exp(d, out=d))[:, None]
+                d[np.arange(len(d)), place[at]] += 1
+                dh[at] += d @ layers.members[c][:HIDDEN].T
+                sums["member"][classes.members[c]] += d.T @ h[at, :HIDDEN]
+            dh *= 1 - h[:, :HIDDEN] ** 2
+            sums["bias"] += dh.sum(axis=0)
+            self.served["class"] += np.diff(edge)
+            columns = np.ascontiguousarray(dh.T, np.float64)
+            for c in range(2 * WINDOW):
+                v = around[:, c][order]
+                for k, d in enumerate(columns):
+                    inner[c, k] += np.bincount(v, d, INPUTS)
+                self.served["left" if c < WINDOW else "right"] += np.bincount(v, minlength=INPUTS)
+        sums["out"] += outer[:HIDDEN]
+        sums["out_bias"] += outer[HIDDEN]
+        for c in range(2 * WINDOW):  # from what an input adds to the hidden layer to the weights that it is made of
+            side, half = "left" if c < WINDOW else "right", slice((c >= WINDOW) * DIM, (c >= WINDOW) * DIM + DIM)
+            placed = inner[c].T @ p["hidden"][half].T
+            sums[side] += placed * p["place"][c]
+            sums["place"][c] += (placed * p[side]).sum(axis=0)
+            sums["hidden"][half] += (p[side] * p["place"][c]).T @ inner[c].T
+        self.served["all"] += len(t)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in (*self.sums.values(), *self.served.values())])
@@ -306,33 +380,26 @@ def training_tokens(texts: DataFrame, rounds: int) -> DataFrame:
 
 
 def gradient(data: DataFrame, p: Params, classes: Classes) -> Gradient:
-    """Summed over the tokens of all rows of data."""
+    """Summed over all tokens of all rows of data."""
 
     def add(sums: np.ndarray, batches: Iterator[pa.RecordBatch]) -> None:
         own = Gradient(p)
-        for b in batches:
-            for raw, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                t, counts = np.frombuffer(raw, "<u2").astype(np.int64), np.frombuffer(sizes, "<i8")
-                spans = Spans(np.concatenate([[0], np.cumsum(counts)]), counts)
-                # the targets of a document depend on nothing but its length
-                n = np.repeat(counts, counts)
-                at = np.flatnonzero((np.arange(len(t)) - np.repeat(spans.first[:-1], counts)) % STRIDE == n % STRIDE % np.minimum(n, STRIDE))
-                x, y = windows(t, spans)[at], t[at]
-                for s in range(0, len(at), CHUNK):
-                    own.add(p, classes, x[s : s + CHUNK], y[s : s + CHUNK])
+        for t, w in runs(batches):
+            own.add(p, classes, windows(t, w), t)
         sums += own.flat()
 
     out = Gradient(p)
-    return out.load(summed(data.select("tokens", "counts"), len(out.flat()), add, "double"))
+    return out.load(summed(data, len(out.flat()), add, "double"))
 
 
 def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Params, Classes]:
-    counts = count_tokens(texts)
-    classes = make_classes(counts)
-    p = initial(counts, count_neighbours(texts, classes), classes)
     data = stored(training_tokens(texts, max(1, rounds)), "tokens")
+    whole = data.select("tokens", "counts")
+    counts = count_tokens(whole)
+    classes = make_classes(counts)
+    p = initial(counts, count_neighbours(whole, classes), classes)
     for r in range(rounds):
-        p = gradient(data.where(F.col("round") == r), p, classes).step(p, counts)
+        p = gradient(data.where(F.col("round") == r).select("tokens", "counts"), p, classes).step(p, counts)
     return p, classes
 
 
@@ -340,8 +407,8 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", roun
     """doc_id, n_tokens, log_prob (summed conditional log-probabilities of all tokens), mean_log_prob.
 
     Fitted on the table itself, then all whole texts are scored. Null, empty and blank texts have no tokens, log_prob 0 and a
-    null mean. One row for each row of the input; repeated rows score alike. An empty table gives no rows. In a document shorter than STRIDE
-    tokens one token is a target, so every document with tokens trains the network.
+    null mean. One row for each row of the input; repeated rows score alike. An empty table gives no rows. Every token of every document is
+    a target of the training once.
     """
     bounded_batches(df.sparkSession)
     texts = id_and_text(df, id_col, text_col)

@@ -901,6 +901,21 @@ def test_lm_trains_on_every_document(spark):
         assert p["member"][t].any() or (np.isin(classes.of[t], np.arange(pseudo_likelihood.OWN))).any()
 
 
+def test_lm_targets_are_all_tokens(spark):
+    """A round's gradient is that of all tokens of its documents, none left out."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50, n)).encode() for n in (0, 1, 2, 5, 30, 400, 7)]
+    frame = spark.createDataFrame([(i, x.decode()) for i, x in enumerate(texts)], "id long, text string")
+    t, w = pseudo_likelihood.tokens(texts)
+    counts = np.bincount(t, minlength=pseudo_likelihood.TOKENS)
+    classes = pseudo_likelihood.make_classes(counts)
+    p = pseudo_likelihood.initial(counts, np.zeros((2, pseudo_likelihood.INPUTS, pseudo_likelihood.CLASSES), np.int64), classes)
+    want = pseudo_likelihood.Gradient(p)
+    want.add(p, classes, pseudo_likelihood.windows(t, w), t)
+    got = pseudo_likelihood.gradient(pseudo_likelihood.training_tokens(frame, 3).select("tokens", "counts"), p, classes)
+    assert got.served["all"][0] == len(t) and np.allclose(got.flat(), want.flat(), atol=1e-3)
+
+
 def test_lm_odd_rows(odd, none):
     rows = pseudo_likelihood.lm_score(odd, rounds=1).collect()
     assert len(rows) == odd.count() and pseudo_likelihood.lm_score(none).count() == 0
