@@ -64,20 +64,33 @@ class Cutter:
 
 
 class Numbers(dict):
-    """Numbers of words, given out in the order in which they are met; `new` holds those that are not encoded yet, after
-    the first `known` numbers, and is shared by several such tables."""
+    """Numbers of words, given out in the order in which they are met; `new` holds those that are not encoded yet, each behind the
+    character before it, after the first `known` numbers, and is shared by several such tables."""
 
     known = 0
 
-    def __init__(self, new: list[tuple[str, str]], before: str):
+    def __init__(self, new: list[str], before: str):
         self.new, self.before = new, before
 
     def __missing__(self, word: str) -> int:
-        self[word] = i = self.known + len(self.new)
-        self.new.append((self.before, word))
+        new = self.new
+        self[word] = i = self.known + len(new)
+        new.append(self.before + word)
         return i
 
 
+class FirstNumbers(Numbers):
+    """The same of words at the start of a text, which are encoded behind a line end of their own; `at` holds their places in `new`."""
+
+    def __init__(self, new: list[str]):
+        super().__init__(new, "\n")
+        self.at: list[int] = []
+
+    def __missing__(self, word: str) -> int:
+        self.at.append(len(self.new))
+        return super().__missing__(word)
+
+
 class TextEncoder(Cutter):
     """Encodes texts word by word, each distinct word once; ids are gathered by the words' numbers.
 
@@ -86,7 +99,7 @@ class TextEncoder(Cutter):
     before it. Other texts, and those with special tokens, are encoded whole.
     """
 
-    cache = CACHE
+    cache, words = CACHE, WORDS
 
     def __init__(self, path: str):
         super().__init__(path)
@@ -97,8 +110,8 @@ class TextEncoder(Cutter):
         self.forget()
 
     def forget(self) -> None:
-        self.new: list[tuple[str, str]] = []
-        self.after_space, self.after_line, self.first = (Numbers(self.new, x) for x in (" ", "\n", ""))
+        self.new: list[str] = []
+        self.after_space, self.after_line, self.first = Numbers(self.new, " "), Numbers(self.new, "\n"), FirstNumbers(self.new)
         self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode_flat(self, text: str) -> np.ndarray:
@@ -111,20 +124,24 @@ class TextEncoder(Cutter):
         if not new:
             return
         sizes, starts, parts, at = np.full(len(new), -1, np.int64), np.zeros(len(new), np.int64), [], len(self.flat)
-        regular = [i for i, (_, w) in enumerate(new) if w and not w[0].isspace() and not w[-1].isspace()]
-        for s in range(0, len(regular), WORDS):
-            some = regular[s : s + WORDS]
-            ids = self.encode_flat("".join([(new[i][0] or "\n") + new[i][1] for i in some]))
+        own = np.zeros(len(new), np.int64)
+        own[self.first.at] = 1  # the line end put before a text's first word
+        # of a word without white space at its ends, only the character put before it is stripped
+        regular = [i for i, w in enumerate(new) if len(w.strip()) == len(w) - 1 > 0]
+        for s in range(0, len(regular), self.words):
+            some = regular[s : s + self.words]
+            ids = self.encode_flat("".join([new[i] for i in some]))
             begin = np.flatnonzero(self.opens[ids])
             if len(begin) != len(some):
                 raise AssertionError("words and their ids do not agree")
-            skip = np.array([not new[i][0] for i in some], np.int64)  # the line end put before a text's first word
+            skip = own[some]
             sizes[some], starts[some] = np.diff(np.append(begin, len(ids))) - skip, at + begin + skip
             parts.append(ids)
             at += len(ids)
         self.flat = np.concatenate([self.flat, *parts])
         self.starts, self.counts = np.concatenate([self.starts, starts]), np.concatenate([self.counts, sizes])
         new.clear()
+        self.first.at.clear()
         for numbers in (self.after_space, self.after_line, self.first):
             numbers.known = len(self.counts)
 

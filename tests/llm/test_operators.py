@@ -826,6 +826,20 @@ def test_decontamination_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and {r["doc_id"] for r in kept.collect()}.isdisjoint({4, 8})
 
 
+def test_words_are_encoded_in_short_runs(monkeypatch):
+    """The library never gets more than 1,024 words at once, and ids are those of whole texts, at the starts of texts and lines too."""
+    own, given = token_store.LibraryEncoder(queries.TOKENIZER), []
+    whole = own.encode_flat
+    monkeypatch.setattr(own, "encode_flat", lambda text: given.append(text) or whole(text))
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh .\n\té"), 6)).strip() or "x" for _ in range(5000)]
+    texts = [" ".join(words), "\n".join(words[:50]), "x", "", " ", "x y", "\nx  y\t", words[7] + "\n" + words[7] + " " + words[7]]
+    for _ in range(2):
+        got = [np.frombuffer(c, "<u4").tolist() for c in own.encode(texts)]
+        assert got == [own.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert max(t.count(" ") + t.count("\n") for t in given if t not in texts) <= 1024
+
+
 # 10
 
 
