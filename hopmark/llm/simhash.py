@@ -242,7 +242,12 @@ def verified(pairs: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def proposals(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
-    """Distinct pairs (a > b) of nodes (rep, keys) to compare; their number grows with that of the nodes, however large a list is.
+    """Distinct pairs (a > b) of nodes (rep, keys) to compare; their number grows with that of the nodes, however large a list is."""
+    return proposed(nodes, often)[0]
+
+
+def proposed(nodes: DataFrame, often: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of proposals(), and the nodes (rep) that stand in long lists, of which not all pairs are among them.
 
     Lists of up to LIST nodes under one key give all their pairs. In larger ones each node is paired with the list's hub, the node that
     has most others under all its long lists together, so with the text that the others are copies of; and with a neighbour in an order that differs from
@@ -261,17 +266,78 @@ def proposals(nodes: DataFrame, often: int = PAIRWISE) -> DataFrame:
     order = Window.partitionBy("key", "salt").orderBy(F.xxhash64("rep", "key"))
     next_to = many.select("rep", F.lag("rep").over(order).alias("other")).where("other IS NOT NULL")
     stars = many.join(hubs, "key").select("rep", "other").union(next_to).where("rep <> other")
-    return pairs.union(stars.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))).distinct()
+    return pairs.union(stars.select(F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b"))).distinct(), many.select("rep").distinct()
+
+
+#: Shingles of texts in long lists are counted in so many cells, to sort the rarest first.
+CELLS = 1 << 18
+
+
+def rare_first(sets: DataFrame) -> DataFrame:
+    """rep, n, i, gram: of each set (rep, grams) its size and its rarest grams, in one order for all, by number i from 0. Two sets with 4/5 of their union in common
+    have one of these in common: with sizes n and m they share 4/9 (n + m) grams at least, and m is 4/5 n or more, so the first that they share has
+    at most n - 4/9 (n + m), or n / 5, before it.
+
+    The order is by the counts of CELLS cells of grams, then by the grams; any order will do, and this one makes few sets share their first grams."""
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CELLS, np.int64)
+        for b in batches:
+            n += np.bincount(b.column(0).flatten().to_numpy().view(np.uint32) % CELLS, minlength=CELLS)
+        used = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(n[used])], ["cell", "n"])
+
+    found = sets.select("grams").mapInArrow(tidy(cells), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(CELLS, np.int64)
+    counts[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rep, grams in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                g = grams.values.to_numpy().view(np.uint32)
+                first = g[np.lexsort((g, counts[g % CELLS]))][: len(g) // 5 + 1]
+                k = len(first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, rep)), pa.array(np.full(k, len(g), np.int32)), pa.array(np.arange(k, dtype=np.int32)), pa.array(first.view(np.int32))], ["rep", "n", "i", "gram"])
+
+    return sets.select("rep", "grams").where(F.size("grams") > 0).mapInArrow(tidy(run), "rep long, n int, i int, gram int")
+
+
+def crowd_pairs(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """All pairs (a > b) of sets (rep, grams) that may have 4/5 of their union in common and that the components found (node, component) do not join yet.
+
+    Pairs share one of their rarest grams, at places that leave enough grams behind them. Grams all of whose sets are in one component, and sets that are too
+    large or small for all others under a gram, are left out before pairs are made."""
+    rows = rare_first(sets).join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", "i", "gram", F.coalesce("component", "rep").alias("c"))
+    # 9 (n - i) >= 4 (n + m) bounds the other's size m, and 5 m >= 4 n as well
+    rows = rows.withColumn("most", F.floor((5 * F.col("n") - 9 * F.col("i")) / 4))
+    rows = stored(rows, "rare")
+    ends = rows.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min("n").alias("least"), F.max("most").alias("far")).where("c0 < c1")
+    live = rows.join(ends, "gram").where("most >= least AND n <= far").select("rep", "n", "most", "gram", "c")
+    # without those, the bounds are tighter still
+    live = stored(live, "rare")
+    ends = live.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("gram")
+    live = stored(live.join(ends, "gram"), "rare")
+    other = live.select("gram", *(F.col(c).alias(f"{c}2") for c in ("rep", "n", "most", "c")))
+    near = (F.col("rep") > F.col("rep2")) & (F.col("c") != F.col("c2")) & (F.col("most") >= F.col("n2")) & (F.col("most2") >= F.col("n"))
+    return live.join(other, "gram").where(near).select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct()
 
 
 def wide_links(nodes: DataFrame, grams: DataFrame, often: int = PAIRWISE) -> DataFrame:
     """Edges (a, b) between nodes (rep, n, s0, ..., keys) with sets of shingles grams (rep, grams): the proposals with 4/5 of their sets' union
-    in common. Between members of lists of up to LIST, and to hubs, nothing is lost that shares a key; of a crowd whose members are near each other but
-    below 4/5, a pair without a hub can be lost."""
+    in common; and, of the nodes in long lists, whose pairs are not all proposed, all further pairs of that similarity that would join components. So
+    whatever shares a key is linked."""
     left, right, differ, near = _sides(nodes)
-    pairs = stored(proposals(nodes, often), "candidates")
+    first, many = proposed(nodes, often)
+    pairs = stored(first, "candidates")
     pairs = stored(pairs.join(left, "a").join(right, "b").where(near).select("a", "b", differ.alias("differ")), "near")
-    return stored(verified(pairs, grams), "links")
+    edges, many = stored(verified(pairs, grams), "links"), stored(many, "many")
+    if many.isEmpty():
+        return edges
+    some, _ = parted_by_keys(grams, F.col("rep"), many)
+    sets = stored(some.join(many, "rep", "left_semi"), "crowd")
+    known = connected_components(edges)
+    more = stored(crowd_pairs(sets, known).withColumn("differ", F.lit(64 * SKETCH)), "candidates")
+    return edges.union(stored(verified(more, sets), "links"))
 
 
 #: The row of a group that stays: the smallest id, null ids last, then the smallest hash of the text.

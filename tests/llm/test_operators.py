@@ -673,6 +673,38 @@ def test_copies_in_a_crowd_are_linked(spark):
     assert [i for i in range(n) if got[i] != got[n + i]] == [] and len({*got.values()}) > n / 2
 
 
+@pytest.mark.parametrize("often", [1, 256])
+def test_copies_in_a_crowd_just_below_the_limit_are_linked(spark, often, monkeypatch):
+    """Most keys of a text are shared with more than LIST others that are near it, but not near enough: every pair at 4/5 is found all the same, and no other."""
+    monkeypatch.setattr(simhash, "wide_links", lambda nodes, grams, f=simhash.wide_links: f(nodes, grams, often))
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmno"), 6))
+
+    def changed(words, k):
+        words = words.copy()
+        for i in rng.choice(len(words), k, replace=False):
+            words[i] = word()
+        return words
+
+    passage, n = [word() for _ in range(250)], 300
+    texts = [changed(passage, 4) for _ in range(n)]
+    texts += [changed(t, 4) for t in texts]
+    sets = [{*simhash.shingles(" ".join(t).encode(), 5)} for t in texts]
+    linked = {(i, j) for i in range(2 * n) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    parent = [*range(2 * n)]
+    fps = [brute_simhash(" ".join(t)) for t in texts]
+    linked |= {(i, j) for i in range(2 * n) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    for _ in range(2 * n):
+        before = [*parent]
+        for i, j in linked:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+        if parent == before:
+            break
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i in range(2 * n) if got[i] != parent[i]] == [] and len({*parent}) > 50
+
+
 @pytest.mark.parametrize("bits", [1 << 25, 1 << 4])
 def test_rows_are_parted_by_keys_whole(spark, bits, monkeypatch):
     """However full the map is, no row is lost and only rows without a key are taken out of the join."""
